@@ -7,10 +7,10 @@ normalisation could change.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +27,8 @@ def _col(c: Column | str) -> Column:
 
 @F.arrow_udf(T.StringType())
 def _normalize_nfc(texts: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(texts, form="NFC")
+    normal = [None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()]
+    return pa.array(normal, pa.string())
 
 
 def nfc(c: Column | str, origin: Column | str | None = None) -> Column:

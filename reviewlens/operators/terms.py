@@ -27,25 +27,18 @@ def count_words(words: Column) -> Column:
 
     Sorting and run lengths inside the row replace a shuffle by (document, word).
     """
-    ordered = F.array_sort(words)
-
     def runs(s: Column) -> Column:
-        numbered = F.transform(s, lambda w, i: F.struct(w.alias("term"), i.alias("at")))
-        starts = F.filter(
-            numbered, lambda x: (x["at"] == 0) | (x["term"] != F.try_element_at(s, x["at"]))
-        )
-        ends = F.concat(
-            F.transform(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), lambda x: x["at"]),
-            F.array(F.size(s)),
-        )
+        places = F.sequence(F.lit(0), F.size(s) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        ends = F.concat(F.slice(starts, 2, F.size(s)), F.array(F.size(s)))
         return F.zip_with(
             starts, ends,
-            lambda x, end: F.struct(x["term"].alias("term"), (end - x["at"]).cast("long").alias("tf")),
+            lambda i, end: F.struct(F.get(s, i).alias("term"), (end - i).cast("long").alias("tf")),
         )
 
     # A one-element array binds the sorted words once for the expressions that read them.
     return F.when(F.size(words) == 0, F.array().cast("array<struct<term:string,tf:bigint>>")).otherwise(
-        F.element_at(F.transform(F.array(ordered), runs), 1)
+        F.element_at(F.transform(F.array(F.sort_array(words)), runs), 1)
     )
 
 
@@ -56,8 +49,16 @@ def document_terms(df: DataFrame, key: str, text: str = "cmt") -> DataFrame:
 
 def term_stats(df: DataFrame, text: str = "cmt") -> DataFrame:
     """(term, n, df): occurrences and documents per term, one map-side combined aggregate."""
-    rows = df.select(F.inline(count_words(tokenize(text))))
-    return rows.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    words = df.select(tokenize(text).alias("words"))
+    # Every word counts as an occurrence; the first of its kind in a row also as a document.
+    marks = F.concat(
+        F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df"))),
+        F.transform(
+            F.array_distinct("words"),
+            lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df")),
+        ),
+    )
+    return words.select(F.inline(marks)).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def vocabulary(df: DataFrame, size: int, min_df: int = 5, text: str = "cmt") -> DataFrame:
