@@ -30,18 +30,21 @@ def learn_phrases(
     df: DataFrame, text: str = "cmt", discount: int = 5, threshold: float = 100.0
 ) -> DataFrame:
     """(a, b, n_ab, n_a, n_b, score) for pairs with score of at least ``threshold``."""
+    # One pass counts words (no second member) and pairs. The generator reads an expression and
+    # not a column: from a column Spark would infer a filter and clean every text twice.
     words = df.select(tx.tokens(text).alias("words"))
-    single = cut_lineage(
-        words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    )
-    total = single.select(F.sum("n").cast("double")).scalar()
-    # A pair at or below the discount scores 0 or less, so it cannot reach a positive threshold.
-    pairs = words.select(F.inline(_pairs(F.col("words")))).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n_ab")
+    rows = F.concat(
+        F.transform("words", lambda w: F.struct(w.alias("a"), F.lit(None).cast("string").alias("b"))),
+        _pairs(F.col("words")),
     )
+    counts = words.select(F.inline(rows)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
     if threshold > 0:
-        pairs = pairs.filter(F.col("n_ab") > discount)
-    pairs = cut_lineage(pairs)
+        # A pair at or below the discount scores 0 or less and cannot reach the threshold.
+        counts = counts.filter(F.col("b").isNull() | (F.col("n_ab") > discount))
+    counts = cut_lineage(counts)
+    single = counts.filter(F.col("b").isNull()).select(F.col("a").alias("word"), F.col("n_ab").alias("n"))
+    pairs = counts.filter(F.col("b").isNotNull())
+    total = single.select(F.sum("n").cast("double")).scalar()
     # A word starts or ends no more distinct pairs than it has occurrences.
     firsts = single.select(F.col("word").alias("a"), F.col("n").alias("n_a"))
     seconds = single.select(F.col("word").alias("b"), F.col("n").alias("n_b"))

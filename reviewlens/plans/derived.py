@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions import labels as lb
 from reviewlens.schema import ANNOTATION_ASPECTS, ASPECTS
+from reviewlens.session import spread_out
 
 # The given text has no Vietnamese, no emoji and hardly a price; every row gets some of them.
 # The sixth holds decomposed letters (a + U+0300, o + U+0302 + U+0323).
@@ -63,21 +64,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, cmt); needs no join."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(CMT).alias("cmt"))
+    return spread_out(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.expr(CMT).alias("cmt")
+    )
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, cmt, seven label columns as text). Unused columns are pruned before the join."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.expr(CMT).alias("cmt"))
+def reviews(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
+    """(doc_id, [cmt,] seven label columns as text). Without ``text`` the column is never read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", *(["text"] if text else []))
     marks = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return docs.join(marks, "doc_id", "left").select(
-        "doc_id", "cmt", *[F.expr(sql).alias(a) for a, sql in LABELS.items()]
+    joined = (spread_out(docs) if text else docs).join(marks, "doc_id", "left")
+    return joined.select(
+        "doc_id", *([F.expr(CMT).alias("cmt")] if text else []),
+        *[F.expr(sql).alias(a) for a, sql in LABELS.items()],
     )
 
 
 def annotations(spark: SparkSession, sf_dir: str, with_review: bool = False) -> DataFrame:
     """(annotator, rec, [review,] codes), three readers per review from one scan."""
-    rows = reviews(spark, sf_dir)
+    rows = reviews(spark, sf_dir, with_review)
     readers = F.array(*[
         F.struct(
             F.lit(r).alias("annotator"),
@@ -91,7 +96,7 @@ def annotations(spark: SparkSession, sf_dir: str, with_review: bool = False) ->
 
 def annotated(spark: SparkSession, sf_dir: str, reader: str = "a1", text: bool = True) -> DataFrame:
     """(id, review, seven sentiment columns) of one reader."""
-    rows = reviews(spark, sf_dir)
+    rows = reviews(spark, sf_dir, text)
     return rows.select(
         F.col("doc_id").alias("id"),
         *([F.col("cmt").alias("review")] if text else []),
@@ -104,7 +109,7 @@ def annotated(spark: SparkSession, sf_dir: str, reader: str = "a1", text: bool =
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, label, prediction) as float arrays."""
-    parsed = reviews(spark, sf_dir).select("doc_id", *[lb.parse_label(a).alias(a) for a in ASPECTS])
+    parsed = reviews(spark, sf_dir, text=False).select("doc_id", *[lb.parse_label(a).alias(a) for a in ASPECTS])
     guess = [F.expr(PREDICTION.format(a=a, k=j + 3)).cast("float") for j, a in enumerate(ASPECTS)]
     return parsed.select("doc_id", lb.label_array().alias("label"), F.array(*guess).alias("prediction"))
 

@@ -85,7 +85,7 @@ def read_reviews(spark, sf_dir):
 def read_reviews_two_folders(spark, sf_dir):
     """Two folders loaded and their rows put together."""
     paths = []
-    table = dv.reviews(spark, sf_dir).select("doc_id", F.lit("x").alias("cmt"), *ASPECTS)
+    table = dv.reviews(spark, sf_dir, text=False).select("doc_id", F.lit("x").alias("cmt"), *ASPECTS)
     for even in (0, 1):
         paths.append(scratch_path(spark, "reviews-part"))
         table.filter(F.col("doc_id") % 2 == even).write.option("header", True).csv(paths[-1])
@@ -121,7 +121,7 @@ def annotations_csv(spark, sf_dir):
 def annotations_csv_unlabelled(spark, sf_dir):
     """A two-column file gets seven empty aspect columns."""
     path = scratch_path(spark, "annotations-csv")
-    dv.annotated(spark, sf_dir).select("id", F.lit("x").alias("review")).write.option("header", True).csv(path)
+    dv.annotated(spark, sf_dir, text=False).select("id", F.lit("x").alias("review")).write.option("header", True).csv(path)
     return an.read_annotations_csv(spark, path).withColumn("id", F.col("id").cast("long"))
 
 
@@ -165,7 +165,7 @@ def random_split(spark, sf_dir):
 
 @query
 def parse_labels(spark, sf_dir):
-    return dv.reviews(spark, sf_dir).select("doc_id", *[lb.parse_label(a).alias(a) for a in ASPECTS])
+    return dv.reviews(spark, sf_dir, text=False).select("doc_id", *[lb.parse_label(a).alias(a) for a in ASPECTS])
 
 
 @query
@@ -175,7 +175,7 @@ def parse_labels_exact(spark, sf_dir):
         F.when(F.col("doc_id") % 2 == 0, F.replace(a, F.lit(".0"), F.lit(""))).otherwise(F.col(a)).alias(a)
         for a in ASPECTS
     ]
-    return dv.reviews(spark, sf_dir).select("doc_id", *bare).select(
+    return dv.reviews(spark, sf_dir, text=False).select("doc_id", *bare).select(
         "doc_id", *[lb.parse_label(a, "exact").alias(a) for a in ASPECTS]
     )
 
@@ -183,7 +183,7 @@ def parse_labels_exact(spark, sf_dir):
 @query
 def label_array(spark, sf_dir):
     """The label vector, taken apart again."""
-    parsed = dv.reviews(spark, sf_dir).select("doc_id", *[lb.parse_label(a).alias(a) for a in ASPECTS])
+    parsed = dv.reviews(spark, sf_dir, text=False).select("doc_id", *[lb.parse_label(a).alias(a) for a in ASPECTS])
     return rows.prediction_columns(parsed.select("doc_id", lb.label_array().alias("label")), "label", keep=["doc_id"])
 
 

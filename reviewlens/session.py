@@ -59,3 +59,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later actions read the written rows, even after executor loss."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Deal rows out over all cores when the input has fewer partitions than the cluster cores.
+
+    Text cleaning is bound by processor time, and a multi-line CSV or a file with one row group
+    arrives in one task. A table of many splits passes through untouched and unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
