@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, Tokenizer, VectorAssembler, Word2Vec
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 # Default width per kind of features.
 WIDTHS = {"wordcount": 3000, "tfidf": 10000, "word2vec": 300}
 
 
 def feature_pipeline(
-    kind: str = "tfidf", num_features: int | None = None, min_df: float = 5, w2v_partitions: int = 1
+    kind: str = "tfidf",
+    num_features: int | None = None,
+    min_df: float = 5,
+    w2v_partitions: int | None = None,
+    w2v_min_count: int = 5,
 ) -> Pipeline:
     """``cmt`` to ``features``: word counts, hashed tf-idf or mean word vectors.
 
-    ``w2v_partitions`` above 1 trains word vectors in parallel and averages them.
+    Word vectors are trained on one partition per core and averaged; ``w2v_partitions=1`` trains
+    them in a single task, which suits small tables only. Spark keeps the words seen at least
+    ``w2v_min_count`` times in the driver, so raise it with the corpus.
     """
     if kind not in WIDTHS:
         raise ValueError("kind must be 'wordcount', 'tfidf' or 'word2vec'")
@@ -29,10 +35,11 @@ def feature_pipeline(
             IDF(inputCol="rawFeatures", outputCol="features_vec"),
         ]
     else:
+        parts = w2v_partitions or SparkSession.active().sparkContext.defaultParallelism
         middle = [
             Word2Vec(
                 inputCol="words", outputCol="features_vec", vectorSize=width, seed=42,
-                numPartitions=w2v_partitions,
+                numPartitions=parts, minCount=w2v_min_count,
             )
         ]
     last = VectorAssembler(inputCols=["features_vec"], outputCol="features")

@@ -58,7 +58,7 @@ def train(
     seed: int = 50,
     features_path: str | None = None,
     net_path: str | None = None,
-    w2v_partitions: int = 1,
+    w2v_partitions: int | None = None,
     **net_params,
 ) -> Trained:
     """Clean, split, fit features on the training side, fit the network, score the test side.

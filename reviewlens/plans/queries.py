@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -392,7 +393,7 @@ def count_vectors(spark, sf_dir):
     model = feature_pipeline("wordcount", 1 << 18).fit(table)
     counter = next(s for s in model.stages if isinstance(s, CountVectorizerModel))
     # Bounded by vocabSize.
-    names = spark.createDataFrame(list(enumerate(counter.vocabulary)), "at int, term string")
+    names = spark.createDataFrame(pd.DataFrame({"at": range(len(counter.vocabulary)), "term": counter.vocabulary}))
     cells = model.transform(table).select("doc_id", F.inline(_sparse_cells("features")))
     found = cells.filter(F.col("value") != 0).join(F.broadcast(names), "at")
     return found.select("doc_id", "term", F.col("value").cast("long").alias("tf"))
@@ -418,7 +419,7 @@ def tfidf_vectors(spark, sf_dir):
 @query
 def word2vec(spark, sf_dir):
     table = _cleaned(spark, sf_dir)
-    out = feature_pipeline("word2vec", 16, w2v_partitions=8).fit(table).transform(table)
+    out = feature_pipeline("word2vec", 16).fit(table).transform(table)
     return out.select("doc_id", F.posexplode(vector_to_array("features")).alias("at", "value"))
 
 
@@ -442,7 +443,7 @@ def _train(spark: SparkSession, sf_dir: str, arch: str, kind: str = "tfidf", **p
     net = MLP if arch == "mlp" else NET
     return jobs.train(
         dv.reviews(spark, sf_dir), arch, kind, WIDTH if kind != "word2vec" else 16, jobs.Prep("basic"),
-        w2v_partitions=8, **net, **paths,
+        **net, **paths,
     )
 
 

@@ -62,7 +62,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("at"),
     )
     splits = lines.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    earlier = W.orderBy("file", "split").rowsBetween(W.unboundedPreceding, -1)
+    # Spark numbers part files with at least five digits, so past 99,999 names do not sort.
+    part = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    earlier = W.orderBy(part, "file", "split").rowsBetween(W.unboundedPreceding, -1)
     offsets = splits.select(
         "file", "split", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.schema import ASPECTS
+from reviewlens.session import spread_out
 
 # Cell texts a CSV reader takes as missing.
 MISSING_CELLS = [
@@ -37,10 +38,13 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
 def read_reviews(
     spark: SparkSession, paths: str | Sequence[str], keep: Sequence[str] = (), multi_line: bool = True
 ) -> DataFrame:
-    """``cmt`` and the seven label columns as text, by name, rows of all paths together."""
+    """``cmt`` and the seven label columns as text, by name, rows of all paths together.
+
+    Few large files are dealt out over all cores after reading.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     tables = [read_csv(spark, p, multi_line).select(*keep, "cmt", *ASPECTS) for p in paths]
-    return reduce(DataFrame.unionByName, tables)
+    return spread_out(reduce(DataFrame.unionByName, tables))
 
 
 def sentences_df(spark: SparkSession, sentences: str | Sequence[str]) -> DataFrame:
