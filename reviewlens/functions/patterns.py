@@ -88,10 +88,10 @@ KEYWORDS = [
 ]
 
 # Characters that NFC neither changes nor combines with a neighbour: everything below the
-# combining marks, Vietnamese precomposed letters, general punctuation, symbols and emoji.
+# combining marks, Vietnamese precomposed letters, punctuation, currency signs, symbols, emoji.
 # A text made of these alone is already normal.
 NFC_STABLE = (
-    r"[\x00-\x{02FF}\x{1EA0}-\x{1EF9}\x{2010}-\x{2027}\x{2030}-\x{205E}"
+    r"[\x00-\x{02FF}\x{1EA0}-\x{1EF9}\x{2002}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20C0}"
     r"\x{2600}-\x{27BF}\x{FE00}-\x{FE0F}\x{1F300}-\x{1FAFF}]"
 )
 

@@ -85,7 +85,7 @@ def read_annotations_txt(
     def blocks(annotator: str, path: str) -> DataFrame:
         shifted = F.col("line") - offset
         picked = numbered_lines(spark, path).filter((shifted >= 0) & (F.pmod(shifted, F.lit(4)) < 2))
-        rec = F.floor(shifted / 4)
+        rec = F.shiftright(shifted, 2)
         # At most two lines share a window; one shuffle and one sort bring them together.
         pair = W.partitionBy("rec").orderBy("line")
         return (
@@ -119,14 +119,15 @@ def write_annotations_txt(
     one file. A line break inside a review becomes a space: it would end the review.
     """
     if rec is None:
+        # Numbering leaves the rows in order, partition after partition.
         rec = "_rec"
-        df = with_row_index(df, order_by=order_by, name=rec)
+        ordered = with_row_index(df, order_by=order_by, name=rec)
+    else:
+        ordered = df.repartitionByRange(rec).sortWithinPartitions(rec)
     block = F.concat_ws(
         "\n",
         F.concat(F.when(F.col(rec) > 0, F.lit("\n")).otherwise(F.lit("")), F.lit("#"), (F.col(rec) + 1).cast("string")),
         F.coalesce(_one_line("review"), F.lit("")),
         encode_label_text(aspects),
     )
-    # Range partitions keep the order across files.
-    ordered = df.repartitionByRange(rec).sortWithinPartitions(rec)
     ordered.select(block.alias("value")).write.option("lineSep", "\n").text(path)
