@@ -127,16 +127,18 @@ def join_words(words: Column, hits: Column) -> Column:
 
 
 def join_phrases(c: Column | str, phrases: Sequence[tuple[str, str]]) -> Column:
-    """Collapse white space and write each neighbouring pair found in ``phrases`` as one word."""
+    """Collapse white space and write each neighbouring pair found in ``phrases`` as one word.
+
+    For lists of thousands use ``operators.phrases.apply_phrases``, which plans them faster.
+    """
     words = tokens(c)
     if not phrases:
         return F.array_join(words, " ")
     known = [f"{a} {b}" for a, b in phrases]
-    heads = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    tails = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+    count = F.greatest(F.size(words) - 1, F.lit(0))
     # isin over literals is a hash-set probe.
     flags = F.zip_with(
-        heads, tails,
+        F.slice(words, 1, count), F.slice(words, 2, count),
         lambda a, b: F.when(F.concat_ws(" ", a, b).isin(known), F.lit("1")).otherwise(F.lit("0")),
     )
     return join_words(words, F.array_join(flags, ""))

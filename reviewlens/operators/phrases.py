@@ -7,7 +7,9 @@ as the corpus grows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from reviewlens.functions import text as tx
@@ -55,6 +57,20 @@ def learn_phrases(
     )
 
 
+def _known_flags(words: str, known: Sequence[Row]) -> Column:
+    """One '0' or '1' per neighbouring pair. As SQL text, since building thousands of literals one
+    by one takes longer than reading them from one string."""
+    def quoted(word: str) -> str:
+        return word.replace("\\", "\\\\").replace("'", "\\'")
+
+    pairs = ", ".join(f"'{quoted(r['a'])} {quoted(r['b'])}'" for r in known)
+    count = f"greatest(size({words}) - 1, 0)"
+    return F.expr(
+        f"array_join(zip_with(slice({words}, 1, {count}), slice({words}, 2, {count}), "
+        f"(a, b) -> if(concat_ws(' ', a, b) in ({pairs}), '1', '0')), '')"
+    )
+
+
 def apply_phrases(
     df: DataFrame,
     phrases: DataFrame,
@@ -68,8 +84,11 @@ def apply_phrases(
     long one is joined. Both give the same text.
     """
     known = phrases.select("a", "b").limit(literal_limit + 1).collect()
+    if not known:
+        return df.withColumn(text, tx.join_phrases(text, []))
     if len(known) <= literal_limit:
-        return df.withColumn(text, tx.join_phrases(text, [(r["a"], r["b"]) for r in known]))
+        flagged = df.withColumn("_words", tx.tokens(text)).withColumn("_flags", _known_flags("_words", known))
+        return flagged.withColumn(text, tx.join_words(F.col("_words"), F.col("_flags"))).select(*df.columns)
 
     pair_key = F.concat_ws(" ", "a", "b").alias("pair")
     spots = df.select(key, F.posexplode(_pairs(tx.tokens(text))).alias("at", "ab")).select(

@@ -65,13 +65,15 @@ def test_learned_phrases_against_counts(spark):
 
 
 def test_long_phrase_lists_are_joined_with_the_same_result(spark):
-    lines = ["a b c a b", "a a a a", "x", "", "c  a b", "b c b c", "a b"]
+    lines = ["a b c a b", "a a a a", "x", "", "c  a b", "b c b c", "a b", "it's \\n it's \\n"]
     df = spark.createDataFrame(list(enumerate(lines)), "k long, cmt string")
-    found = spark.createDataFrame([("a", "b", 9), ("b", "c", 5), ("a", "a", 3)], "a string, b string, n_ab long")
+    found = spark.createDataFrame([("a", "b", 9), ("b", "c", 5), ("a", "a", 3), ("it's", "\\n", 2)], "a string, b string, n_ab long")
     short = phrases.apply_phrases(df, found, "k").orderBy("k").collect()
     joined = phrases.apply_phrases(df, found, "k", literal_limit=1).orderBy("k").collect()
     assert short == joined
-    assert [r["cmt"] for r in short] == ["a_b c a_b", "a_a a_a", "x", "", "c a_b", "b_c b_c", "a_b"]
+    assert [r["cmt"] for r in short] == ["a_b c a_b", "a_a a_a", "x", "", "c a_b", "b_c b_c", "a_b", "it's_\\n it's_\\n"]
+    none = phrases.apply_phrases(df, found.limit(0), "k").orderBy("k").collect()
+    assert none[4]["cmt"] == "c a b"
 
 
 def test_feature_pipelines(spark):
