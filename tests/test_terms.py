@@ -44,9 +44,14 @@ def test_attach_by_key_equals_a_join_under_skew(spark):
     # A third of the rows share one key; nearly all other keys are rare.
     left = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"))
     table = left.groupBy("key").agg(F.count(F.lit(1)).alias("w")).withColumn("v", F.col("key") * 2)
-    got = attach_by_key(left, table, "key", "w")
-    assert got.count() == 60_000
-    assert got.exceptAll(left.join(table, "key").select(got.columns)).count() == 0
+    want = left.join(table, "key")
+    for limit in (1 << 20, 0):
+        got = attach_by_key(left, table, "key", "w", limit)
+        assert got.count() == 60_000
+        assert got.exceptAll(want.select(got.columns)).count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "Union" in plan
+    assert attach_by_key(left, table.limit(0), "key", "w").count() == 0
 
 
 def test_learned_phrases_against_counts(spark):
