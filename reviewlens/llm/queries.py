@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reviewlens.llm import jaccard
+from reviewlens.llm import decontaminate, jaccard, language, licenses, lines, packing, pii, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -34,3 +35,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_ngram_jaccard(spark, sf_dir):
     """Components of documents whose four-word shingles agree to 85 percent."""
     return jaccard.classes(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query
+def op2_pack_documents(spark, sf_dir):
+    """All documents' token ids in sequences of at most 2048."""
+    return packing.packed_documents(_table(spark, sf_dir, "documents")).drop("loss_tokens")
+
+
+@query
+def op3_url_rules(spark, sf_dir):
+    """Block or allow for every page, by rule or by its aliases."""
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_license_scan(spark, sf_dir):
+    """Licence phrases and covered template statements in every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_decontaminate(spark, sf_dir):
+    """Benchmark items that documents hold."""
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_line_dedup(spark, sf_dir):
+    """Lines removed from every document and a digest of what is left."""
+    found = lines.deduplicated(_table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_exact", "n_near", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query
+def op9_language_id(spark, sf_dir):
+    """Language of every document, learned from four fifths of them."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = language.predict(docs, language.fit(docs.filter(language.training_rows(docs))))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op10_personal_data(spark, sf_dir):
+    """Personal data spans of every document."""
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
