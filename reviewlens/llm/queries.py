@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import decontaminate, jaccard, language, licenses, lines, packing, pii, urls
+from reviewlens.llm import decontaminate, hnsw, jaccard, language, licenses, lines, packing, pii, suffix_tree, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -49,6 +49,21 @@ def op3_url_rules(spark, sf_dir):
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+@query
+def op4_suffix_tree_scores(spark, sf_dir):
+    """Scores of all documents, learned from six sevenths of them."""
+    docs = _table(spark, sf_dir, "documents")
+    rest = F.crc32(F.col("doc_id").cast("string")) % 7
+    found = suffix_tree.scores(docs, rest != 2)
+    return found.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)))
+
+
+@query
+def op5_hnsw(spark, sf_dir):
+    """The 20 nearest vectors of every twentieth."""
+    return hnsw.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 @query
 def op6_license_scan(spark, sf_dir):
     """Licence phrases and covered template statements in every document."""
