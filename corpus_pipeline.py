@@ -1,5 +1,77 @@
+"""Documents to packed training sequences, stage by stage.
+
+Every stage works on all rows that its predecessor kept. Stages but the last return the columns of ``documents``;
+the last returns one row per packed piece.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reviewlens.llm import decontaminate, jaccard, language, lines, packing
+from reviewlens.session import scratch_path
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a known language; those that language identification rejects go.
+
+    Learned from the stage's own labelled rows (those the held-out rule leaves).
+    """
+    model = language.fit(docs.filter(language.training_rows(docs)))
+    rows = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+    return language.predict(rows, model).filter(~F.col("rejected")).select("doc_id.*")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop repeated and nearly repeated lines, the earliest stays; documents of which nothing is left go.
+
+    n_chars is that of the remaining text. Documents that had no line that could repeat stay as they are.
+    """
+    found = lines.deduplicated(docs)
+    lost = (F.col("n_exact") + F.col("n_near")) > 0
+    kept = found.filter(~lost | (F.trim(F.translate("text", "\n\t\r\x0b\x0c", "     ")) != ""))
+    changed = {"text": F.col("text"), "n_chars": F.when(lost, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return kept.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates (five-word shingles, 80 percent) the document with the smallest doc_id stays.
+
+    Documents without a doc_id or words are in no group and stay.
+    """
+    classes = jaccard.classes(docs, words=5, percent=80)
+    copies = classes.filter((F.col("component_id") < F.col("doc_id"))).select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in sequences of at most 2048, one row per piece."""
+    return packing.packed_documents(docs).drop("loss_tokens")
+
+
+STAGES = [
+    ("language", language_stage),
+    ("lines", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+# Nearest centroids, bin packing and token ids have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage for the documents below ``sf_dir``; each stage is written and reread."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
