@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from reviewlens.session import cut_lineage
 
+_BLANKS = " \t\r\x0b\x0c"
+MARKS = 1 << 20
 MIN_WORDS = 8  # shorter lines are compared as they are: one word would be too much of them
 
 
@@ -25,12 +27,13 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def words_of(line: Column) -> Column:
-    return F.split(line, r"[\x20\x09-\x0D]+")
-
-
-def _stripped(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+def _normal(line: Column) -> Column:
+    """The line's words with one space between them."""
+    odd = F.lit(False)
+    for blank in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | line.contains(blank)
+    line = F.trim(line, F.lit(_BLANKS))
+    return F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)
 
 
 def _xor(values: Column) -> Column:
@@ -38,20 +41,33 @@ def _xor(values: Column) -> Column:
 
 
 def _half_keys(words: Column) -> Column:
-    """Hashes of the first and last m words, m for partners as long as the line and one shorter or longer."""
-    n = F.size(words)
+    """Hashes of the first and last m words, m for partners as long as the line and one shorter or longer;
+    words: with one space between them. Null for lines below the minimum."""
+    n = _n_words(words)
     keys = []
     for m in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
-        keys += [F.xxhash64(F.lit(1), m, F.slice(words, F.lit(1), m)), F.xxhash64(F.lit(2), m, F.slice(words, n - m + 1, m))]
+        keys += [F.xxhash64(F.lit(1), m, F.call_function("substring_index", words, F.lit(" "), m)), F.xxhash64(F.lit(2), m, F.call_function("substring_index", words, F.lit(" "), -m))]
     return F.array_distinct(F.array(*keys))
 
 
+def _n_words(words: Column) -> Column:
+    return (F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit(""))) + 1).cast("int")
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, line, h): every line that is not blank; at counts from 0; lines with equal h are equal
-    apart from white space at their ends."""
+    """(doc_id, at, words, h): every line that is not blank; at counts from 0; lines with equal h have equal words."""
     lines = docs.filter("text is not null").select("doc_id", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
-    lines = lines.withColumn("line", _stripped(F.col("line"))).filter("line <> ''")
-    return lines.withColumn("h", F.xxhash64("line"))
+    lines = lines.select("doc_id", "at", _normal(F.col("line")).alias("words")).filter("words <> ''")
+    return lines.withColumn("h", F.xxhash64("words"))
+
+
+def _marked(ids: Column) -> Column:
+    return F.pmod(F.xxhash64(ids), F.lit(MARKS)).cast("int")
+
+
+def _marks(frame: DataFrame, ids: str) -> DataFrame:
+    """Hash buckets of ``ids``, at most MARKS rows: a filter of bounded size that passes all of them and few others."""
+    return F.broadcast(frame.select(_marked(F.col(ids)).alias("mark")).distinct())
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -79,21 +95,18 @@ def decided(docs: DataFrame, minimum: int = MIN_WORDS) -> DataFrame:
     """
     found = occurrences(docs)
     place = F.struct("doc_id", "at")
-    words = words_of(F.col("line"))
-    keyed = found.select("doc_id", "at", "h", F.when(F.size(words) >= minimum, _half_keys(words)).alias("halves"))
+    halves = F.when(_n_words(F.col("words")) >= minimum, _half_keys(F.col("words")))
+    keyed = found.select("doc_id", "at", "h", halves.alias("halves"))
     first = cut_lineage(keyed.groupBy("h").agg(F.min(place).alias("first"), F.first("halves").alias("halves")))
 
     # Lines with a half that another line has too.
-    halves = first.filter("halves is not null").select("h", F.explode("halves").alias("half"))
-    common = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("half")
-    suspects = halves.join(common, "half", "left_semi").select("h").distinct().join(first.select("h", "first"), "h")
-    texts = found.select("doc_id", "at", "h", "line").dropDuplicates(["doc_id", "at", "h"])
-    suspects = (
-        suspects.select("h", "first", F.col("first.doc_id").alias("doc"), F.col("first.at").alias("line_at"))
-        .join(texts.withColumnRenamed("h", "own"), F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("line_at") == F.col("at")) & (F.col("h") == F.col("own")))
-        .select("h", "first", words_of(F.col("line")).alias("words"))
-    )
-    suspects = cut_lineage(suspects)
+    by_half = first.filter("halves is not null").select("h", F.explode("halves").alias("half"))
+    common = by_half.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("half")
+    named = cut_lineage(by_half.join(common, "half", "left_semi").select("h").distinct())
+    suspects = first.select("h", "first").join(named, "h", "left_semi")
+    texts = found.join(_marks(named, "h"), _marked(F.col("h")) == F.col("mark"), "left_semi").select(F.col("h").alias("own"), place.alias("place"), "words")
+    suspects = suspects.join(texts, (F.col("h") == F.col("own")) & (F.col("first") == F.col("place")))
+    suspects = cut_lineage(suspects.dropDuplicates(["h"]).select("h", "first", F.split("words", " ").alias("words")))
 
     # Variants: the words without word i. Sums by exclusive or make each one constant work.
     n = F.size("words")
@@ -139,9 +152,14 @@ def deduplicated(docs: DataFrame, minimum: int = MIN_WORDS) -> DataFrame:
         F.collect_set("at").alias("removed"),
         F.sum((F.col("kind") == "exact").cast("long")).alias("n_exact"), F.sum((F.col("kind") == "near").cast("long")).alias("n_near"),
     ).withColumnRenamed("doc_id", "lost_id")
+    zero = F.lit(0).cast("long")
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    joined = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left")
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long")
+    lines = F.when(F.col("text").isNull(), zero).otherwise(F.size(_lines(F.col("text")))).cast("long").alias("n_lines")
+    # Only rows that may have lost lines are shuffled.
+    lost = cut_lineage(lost)
+    marks, mark = _marks(lost, "lost_id"), _marked(F.col("doc_id")) == F.col("mark")
+    touched = rows.join(marks, mark, "left_semi").join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left")
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(_remaining(F.col("text"), F.col("removed")))
-    zero = F.lit(0).cast("long")
-    return joined.select("row", text.alias("text"), lines.alias("n_lines"), F.coalesce("n_exact", zero).alias("n_exact"), F.coalesce("n_near", zero).alias("n_near"))
+    touched = touched.select("row", text.alias("text"), lines, F.coalesce("n_exact", zero).alias("n_exact"), F.coalesce("n_near", zero).alias("n_near"))
+    whole = rows.join(marks, mark, "left_anti").select("row", "text", lines, zero.alias("n_exact"), zero.alias("n_near"))
+    return touched.union(whole)

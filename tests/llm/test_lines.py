@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ def brute(docs, minimum=lines.MIN_WORDS):
     first, text = {}, {}
     for doc, t in docs:
         for at, line in enumerate((t or "").split("\n") if t is not None else []):
-            s = line.strip(" \t\n\x0b\x0c\r")
+            s = " ".join(re.findall(r"[^\x20\x09-\x0D]+", line))
             if s:
                 first[s] = min(first.get(s, (doc, at)), (doc, at))
     words = {s: s.split() for s in first}
@@ -31,7 +32,7 @@ def brute(docs, minimum=lines.MIN_WORDS):
             continue
         kept, exact, close = [], 0, 0
         for at, line in enumerate(t.split("\n")):
-            s = line.strip(" \t\n\x0b\x0c\r")
+            s = " ".join(re.findall(r"[^\x20\x09-\x0D]+", line))
             if s and first[s] < (doc, at):
                 exact += 1
             elif s in near:
@@ -57,7 +58,7 @@ def test_lines_equal_brute_force(spark, seed):
                 line[at : at + 1] = rng.choice([[], [rng.choice(vocabulary)], [*line[at : at + 1], rng.choice(vocabulary)]])
             own.append(rng.choice(["", "", " ", "\t"]) + " ".join(line) + rng.choice(["", "  "]))
         docs.append((k, "\n".join(own)))
-    docs += [(100, None), (101, ""), (102, "\n\n"), (103, "é ñ\r\né ñ")]
+    docs += [(100, None), (101, ""), (102, "\n\n"), (103, "é ñ\r\né \t ñ")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("removed", F.lit(1)).repartition(4)
     got = {r.row.doc_id: (r.text, r.n_lines, r.n_exact, r.n_near) for r in lines.deduplicated(frame).collect()}
     want = brute(docs)
