@@ -11,7 +11,6 @@ from reviewlens.llm import decontaminate, hnsw, jaccard, language, licenses, lin
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
@@ -23,10 +22,6 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,7 +41,7 @@ def op2_pack_documents(spark, sf_dir):
 @query
 def op3_url_rules(spark, sf_dir):
     """Block or allow for every page, by rule or by its aliases."""
-    return urls.judge(_table(spark, sf_dir, "pages"))
+    return urls.judge(_table(spark, sf_dir, "pages")).drop("component")
 
 
 @query
