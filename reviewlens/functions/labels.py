@@ -69,15 +69,25 @@ def code_to_sentiment(c: Column | str) -> Column:
     return F.when(c > 0, F.element_at(names, c.cast("int")))
 
 
-def sentiment_to_code(c: Column | str) -> Column:
-    """0 for null and ``dne``; null for a name that is not a sentiment."""
+def sentiment_to_code(c: Column | str, unknown: str = "raise") -> Column:
+    """0 for null and ``dne``. A name that is not a sentiment raises, or with ``unknown="null"`` gives null."""
     c = _col(c)
     code = F.when(c.isNull(), F.lit(0))
     for value, name in enumerate(SENTIMENTS):
         code = code.when(c == name, F.lit(value))
+    if unknown == "raise":
+        code = code.otherwise(F.raise_error(F.concat(F.lit("not a sentiment: "), c)).cast("int"))
+    elif unknown != "null":
+        raise ValueError("unknown must be 'raise' or 'null'")
     return code.cast("int")
 
 
+def unknown_sentiments(df: DataFrame, columns: Sequence[str] = ANNOTATION_ASPECTS, keep: Sequence[str] = ()) -> DataFrame:
+    """(aspect, sentiment) of cells whose name is not a sentiment, one row each."""
+    cells = F.array(*[F.struct(F.lit(c).alias("aspect"), F.col(c).alias("sentiment")) for c in columns])
+    return df.select(*keep, F.inline(cells)).filter(F.col("sentiment").isNotNull() & ~F.col("sentiment").isin(list(SENTIMENTS)))
+
+
 def to_multilabel(codes: Column | str) -> Column:
     """Codes of k aspects to 3k booleans, position ``3j + code - 1``."""
     return F.flatten(F.transform(_col(codes), lambda c: F.array(c == 1, c == 2, c == 3)))

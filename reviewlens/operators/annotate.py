@@ -67,6 +67,8 @@ def apply_edits(
 ) -> DataFrame:
     """Latest edit per (document, aspect) wins; ``dne`` clears. Edits: key, aspect, sentiment, seq.
 
+    An aspect or sentiment that is not known raises.
+
     Sequence number and sentiment are packed into one long, so the newest edit is a plain
     maximum: map-side combined, and a document with very many edits sends one row per task.
     """
@@ -74,10 +76,13 @@ def apply_edits(
     for value, name in enumerate(SENTIMENTS[1:], 1):
         code = code.when(F.col("sentiment") == name, F.lit(value))
     code = code.otherwise(F.raise_error(F.concat(F.lit("not a sentiment: "), F.col("sentiment"))))
-    packed = edits.select(key, "aspect", (F.col("seq") * 4 + code.cast("long")).alias("_packed"))
+    name = F.coalesce("aspect", F.lit("null"))
+    refused = F.raise_error(F.concat(F.lit("not an aspect: "), name)).cast("long")
+    value = F.when(F.col("aspect").isin(list(aspects)), F.col("seq") * 4 + code.cast("long")).otherwise(refused)
+    packed = edits.select(key, "aspect", value.alias("_packed"))
     latest = packed.groupBy(key).agg(*[
         F.max(F.when(F.col("aspect") == a, F.col("_packed"))).alias(f"_{a}") for a in aspects
-    ])
+    ], F.max("_packed").alias("_any")).filter(F.col("_any").isNotNull()).drop("_any")
     joined = df.join(latest, key, "left")
     return joined.select(*[
         F.when(F.col(f"_{c}").isNotNull(), lb.code_to_sentiment(F.pmod(f"_{c}", F.lit(4))))
@@ -113,14 +118,16 @@ def misaligned(
 ) -> DataFrame:
     """(key, problem) for records only one annotator has, or whose reviews differ.
 
-    Digests are joined, not texts, so reviews are not shuffled.
+    Digests are joined, not texts, so reviews are not shuffled. Two missing reviews are equal.
     """
-    marked = annotations.select("annotator", key, F.md5(F.col(review).cast("binary")).alias("digest"))
+    digest = F.struct(F.md5(F.col(review).cast("binary")).alias("digest"))
+    marked = annotations.select("annotator", key, digest.alias("digest"))
     both = _side(marked, a, key, "digest", "a").join(_side(marked, b, key, "digest", "b"), key, "full_outer")
+    # The struct is null where the record is absent, its field where the review is.
     problem = (
         F.when(F.col("a").isNull(), F.lit(f"not in {a}"))
         .when(F.col("b").isNull(), F.lit(f"not in {b}"))
-        .when(F.col("a") != F.col("b"), F.lit("different review"))
+        .when(~F.col("a.digest").eqNullSafe(F.col("b.digest")), F.lit("different review"))
     )
     return both.select(key, problem.alias("problem")).filter(F.col("problem").isNotNull())
 

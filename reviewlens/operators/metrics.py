@@ -145,8 +145,17 @@ def multilabel_f1(
     pred: str = "y_pred",
     aspects: Sequence[str] = ANNOTATION_ASPECTS,
     by: Sequence[str] = (),
+    zero_division: float = 0.0,
+    labels: Sequence[int] | None = None,
+    sample_weight: str | None = None,
 ) -> DataFrame:
-    """F1 over the (aspect, sentiment) indicators: micro, macro, weighted or samples."""
+    """F1 over the (aspect, sentiment) indicators: micro, macro, weighted or samples.
+
+    ``labels`` picks indicators by position (``3 * aspect + code - 1``), ``sample_weight`` names a column
+    of row weights, and ``zero_division`` is the value of an F1 without any true or predicted mark.
+    """
+    if zero_division or labels is not None or sample_weight:
+        return _weighted_f1(df, average, true, pred, aspects, by, zero_division, labels, sample_weight)
     if average == "samples":
         scored = df.select(*by, _row_f1(df, true, pred, len(aspects)).alias("f1"))
         return scored.groupBy(*by).agg(F.avg("f1").alias("f1"))
@@ -170,6 +179,47 @@ def multilabel_f1(
     raise ValueError("average must be micro, macro, weighted or samples")
 
 
+def _weighted_f1(df, average, true, pred, aspects, by, zero_division, labels, sample_weight) -> DataFrame:
+    """F1 with options, from one row per record and indicator counted in place."""
+    picked = list(range(3 * len(aspects))) if labels is None else list(dict.fromkeys(labels))
+    weight = F.col(sample_weight).cast("double") if sample_weight else F.lit(1.0)
+
+    def marks(at: int) -> tuple[Column, Column]:
+        place, code = divmod(at, 3)
+        return F.get(true, F.lit(place)) == code + 1, F.get(pred, F.lit(place)) == code + 1
+
+    def number(mark: Column) -> Column:
+        return F.when(mark, 1.0).otherwise(0.0)
+
+    def f1(tp: Column, both: Column) -> Column:
+        return F.when(both > 0, 2.0 * tp / both).otherwise(F.lit(float(zero_division)))
+
+    cells = [(number(t & p), number(t), number(p)) for t, p in map(marks, picked)]
+    zero = F.lit(0.0)
+    if average == "samples":
+        tp, t, p = (sum((c[k] for c in cells), zero) for k in range(3))
+        scored = df.select(*by, f1(tp, t + p).alias("f1"), weight.alias("w"))
+        return scored.groupBy(*by).agg((F.sum(F.col("f1") * F.col("w")) / F.sum("w")).alias("f1"))
+    sums = df.groupBy(*by).agg(*[
+        F.coalesce(F.sum(c[k] * weight), zero).alias(f"_{name}{i}") for i, c in enumerate(cells) for k, name in enumerate("xtp")
+    ])
+
+    def total(name: str) -> Column:
+        return sum((F.col(f"_{name}{i}") for i in range(len(cells))), zero)
+
+    each = [f1(F.col(f"_x{i}"), F.col(f"_t{i}") + F.col(f"_p{i}")) for i in range(len(cells))]
+    if average == "micro":
+        value = f1(total("x"), total("t") + total("p"))
+    elif average == "macro":
+        value = sum(each, zero) / len(each)
+    elif average == "weighted":
+        support = sum((e * F.col(f"_t{i}") for i, e in enumerate(each)), zero)
+        value = F.when(total("t") > 0, support / total("t")).otherwise(F.lit(float(zero_division)))
+    else:
+        raise ValueError("average must be micro, macro, weighted or samples")
+    return sums.select(*by, value.alias("f1"))
+
+
 def cohen_kappa(
     df: DataFrame, true: str = "y_true", pred: str = "y_pred",
     aspects: Sequence[str] = ANNOTATION_ASPECTS, by: Sequence[str] = (),

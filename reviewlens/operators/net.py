@@ -8,7 +8,6 @@ the driver ever receives all replicas. Only the averaged weights return.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ from reviewlens.session import cut_lineage
 HIDDEN = {"mlp": [1000, 256], "rnn": [256], "gru": [256], "lstm": [256]}
 CELL_DROPOUT = 0.2
 
-_CHUNK = 16_384  # floats per chunk: with 1,000 partitions one averaging group holds 64 MB
+_CHUNK = 16_384  # floats per chunk: an averaging group holds at most FAN_IN of them
 _BLOCK = 16  # mini-batches shuffled together within a task
 _MODEL_LIMIT = 1 << 30  # bytes of weights that may be broadcast
 _REPLICA = "name string, chunk int, part int, n long, w binary"
@@ -52,6 +51,9 @@ def _chunks(w: kn.Weights) -> Iterator[tuple[str, int, np.ndarray]]:
             yield name, at, flat[start : start + _CHUNK]
 
 
+FAN_IN = 64  # replicas that one group averages
+
+
 def _average(pdf: pd.DataFrame) -> pd.DataFrame:
     """Mean of one chunk over partitions, weighted by rows; fixed order, so repeatable."""
     pdf = pdf.sort_values("part")
@@ -60,7 +62,7 @@ def _average(pdf: pd.DataFrame) -> pd.DataFrame:
         total += n * np.frombuffer(raw, np.float32)
     mean = (total / pdf["n"].sum()).astype(np.float32)
     return pd.DataFrame({
-        "name": pdf["name"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "part": -1,
+        "name": pdf["name"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "part": pdf["part"].iloc[:1] // FAN_IN,
         "n": pdf["n"].sum(), "w": [mean.tobytes()],
     })
 
@@ -126,9 +128,10 @@ class AspectNet(_NetParams, Estimator, DefaultParamsReadable, DefaultParamsWrita
             *([F.col(get(self.keyCol)).alias("key")] if get(self.keyCol) else []),
         )
         if get(self.keyCol):
-            spread = F.xxhash64(F.lit(get(self.seed)), "key")
-            placed = rows.withColumn("h", spread).repartition(wanted, "h").sortWithinPartitions("h", "key")
-            placed = placed.select("f", "y")
+            # By the whole row: equal keys spread, and rows that tie are equal, so any input layout gives one order.
+            spread = F.xxhash64(F.lit(get(self.seed)), "f.indices", "f.values", "y", "key")
+            placed = rows.withColumn("h", spread).repartition(wanted, "h")
+            placed = placed.sortWithinPartitions("h", "key", "f.indices", "f.values", "y").select("f", "y")
         else:
             placed = rows.repartition(wanted)
         placed = cut_lineage(placed)
@@ -146,9 +149,6 @@ class AspectNet(_NetParams, Estimator, DefaultParamsReadable, DefaultParamsWrita
         n = sum(p["n"] for p in parts)
         if n == 0:
             raise ValueError("no training rows")
-        if max(p["n"] for p in parts) > 4 * n / wanted + get(self.batchSize) * _BLOCK:
-            warnings.warn("keyCol is far from unique; rows are dealt out evenly instead", stacklevel=2)
-            placed = cut_lineage(placed.repartition(wanted))
         # Spark keeps the width only in sparse vectors; a dense one is as long as its values.
         width = max(max(p["sparse_width"] or 0, p["dense_width"] or 0) for p in parts)
         return placed, width, max(p["out"] for p in parts)
@@ -198,10 +198,11 @@ class AspectNet(_NetParams, Estimator, DefaultParamsReadable, DefaultParamsWrita
                         "w": [values.astype(np.float32).tobytes()],
                     })
 
-            averaged = (
-                rows.mapInArrow(replica, _REPLICA).groupBy("name", "chunk").applyInPandas(_average, _REPLICA)
-                .select("name", "chunk", "w").collect()
-            )
+            replicas, left = rows.mapInArrow(replica, _REPLICA), rows.rdd.getNumPartitions()
+            while left > FAN_IN:
+                by = ["name", "chunk", F.expr(f"part div {FAN_IN}")]
+                replicas, left = replicas.groupBy(*by).applyInPandas(_average, _REPLICA), -(-left // FAN_IN)
+            averaged = replicas.groupBy("name", "chunk").applyInPandas(_average, _REPLICA).select("name", "chunk", "w").collect()
             shared.destroy()
             parts = [(r["name"], r["chunk"], np.frombuffer(r["w"], np.float32)) for r in averaged]
             history.append(float(next(v[0] for name, _, v in parts if name == "loss")))

@@ -74,14 +74,13 @@ def _known_flags(words: str, known: Sequence[Row]) -> Column:
 def apply_phrases(
     df: DataFrame,
     phrases: DataFrame,
-    key: str,
     text: str = "cmt",
     literal_limit: int = LITERAL_LIMIT,
 ) -> DataFrame:
-    """Rewrite ``text`` with the pairs (a, b, n_ab) of ``phrases``; ``key`` is unique per row.
+    """Rewrite ``text`` with the pairs (a, b, n_ab) of ``phrases``.
 
     The phrase list is measured first: a short one becomes a literal set and needs no shuffle, a
-    long one is joined. Both give the same text.
+    long one is joined, by a row number made here over a checkpointed input. Both give the same text.
     """
     known = phrases.select("a", "b").limit(literal_limit + 1).collect()
     if not known:
@@ -90,6 +89,8 @@ def apply_phrases(
         flagged = df.withColumn("_words", tx.tokens(text)).withColumn("_flags", _known_flags("_words", known))
         return flagged.withColumn(text, tx.join_words(F.col("_words"), F.col("_flags"))).select(*df.columns)
 
+    columns, key = df.columns, "_row"
+    df = cut_lineage(df.withColumn(key, F.monotonically_increasing_id()))
     pair_key = F.concat_ws(" ", "a", "b").alias("pair")
     spots = df.select(key, F.posexplode(_pairs(tx.tokens(text))).alias("at", "ab")).select(
         key, "at", F.concat_ws(" ", "ab.a", "ab.b").alias("pair")
@@ -113,4 +114,4 @@ def apply_phrases(
         F.greatest(F.size(words) - 1, F.lit(0)), F.lit("0"),
     )
     joined = df.join(hits, key, "left").withColumn("_flags", flags)
-    return joined.withColumn(text, tx.join_words(words, F.col("_flags"))).select(*df.columns)
+    return joined.withColumn(text, tx.join_words(words, F.col("_flags"))).select(*columns)

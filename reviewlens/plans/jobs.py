@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -13,6 +13,7 @@ from reviewlens.functions import labels as lb
 from reviewlens.functions import text as tx
 from reviewlens.operators import annotate, metrics
 from reviewlens.operators.features import build_features, feature_pipeline
+from reviewlens.operators.phrases import learn_phrases
 from reviewlens.operators.net import AspectNet, AspectNetModel
 from reviewlens.operators.rows import clean_reviews, clean_sentences, sentence_result, split_reviews
 from reviewlens.schema import ANNOTATION_ASPECTS, ASPECTS
@@ -20,6 +21,10 @@ from reviewlens.sources.models import load_features, load_net, save_features, sa
 from reviewlens.sources.reviews import sentences_df
 
 
+# Learned phrases travel as literals; more are refused.
+PHRASES = 20_000
+
+
 @dataclass
 class Prep:
     """Cleaning settings, to be the same in training and scoring."""
@@ -45,6 +50,7 @@ class Trained:
     net: AspectNetModel
     report: DataFrame
     predictions: DataFrame = field(repr=False)
+    prep: Prep = field(default_factory=Prep)
 
 
 def train(
@@ -59,20 +65,31 @@ def train(
     features_path: str | None = None,
     net_path: str | None = None,
     w2v_partitions: int | None = None,
+    w2v_min_count: int = 5,
+    min_df: float = 5,
+    phrase_threshold: float | None = None,
     **net_params,
 ) -> Trained:
     """Clean, split, fit features on the training side, fit the network, score the test side.
 
     ``reviews`` holds ``key``, ``cmt`` and the seven label columns as text. Without a key the
-    split is random.
+    split is random. ``w2v_min_count`` and ``min_df`` bound the vocabularies, see ``feature_pipeline``.
+    With ``phrase_threshold`` word pairs are learned from the cleaned training side and joined in all rows;
+    the settings to score with, learned pairs included, are ``Trained.prep``.
     """
     prep = prep or Prep()
     keep = [key] if key else []
+    if phrase_threshold is not None:
+        plain, _ = split_reviews(prep.reviews(reviews, keep), train_ratio, seed, key, method="hash" if key else "random")
+        pairs = learn_phrases(plain, threshold=phrase_threshold).select("a", "b").limit(PHRASES + 1).collect()
+        if len(pairs) > PHRASES:
+            raise ValueError(f"more than {PHRASES} phrases; raise phrase_threshold")
+        prep = replace(prep, phrases=sorted({*(prep.phrases or ()), *((r["a"], r["b"]) for r in pairs)}))
     cleaned = prep.reviews(reviews, keep)
     train_rows, test_rows = split_reviews(
         cleaned, train_ratio, seed, key, method="hash" if key else "random"
     )
-    pipeline = feature_pipeline(kind, num_features, w2v_partitions=w2v_partitions)
+    pipeline = feature_pipeline(kind, num_features, min_df, w2v_partitions, w2v_min_count)
     features, train_set, test_set = build_features(train_rows, test_rows, pipeline, tuple(keep))
     if features_path:
         save_features(features, features_path)
@@ -80,7 +97,7 @@ def train(
     if net_path:
         save_net(net, net_path)
     predictions = net.transform(test_set).select(*keep, "label", "prediction")
-    return Trained(features, net, metrics.accuracy_report(predictions), predictions)
+    return Trained(features, net, metrics.accuracy_report(predictions), predictions, prep)
 
 
 def evaluate(

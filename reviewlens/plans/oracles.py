@@ -5,6 +5,7 @@ from __future__ import annotations
 from reviewlens.functions import patterns as pt
 from reviewlens.functions import text as tx
 from reviewlens.plans import derived as dv
+from reviewlens.plans import formulas
 from reviewlens.plans.queries import PHRASE_THRESHOLD
 from reviewlens.schema import ANNOTATION_ASPECTS, ASPECTS, SENTIMENTS
 
@@ -216,7 +217,7 @@ def oracle_sql() -> dict[str, str]:
     out["read_reviews"] = f"WITH {_REVIEWS} SELECT doc_id, cmt, " + _aspect_columns(
         lambda j, a: f"nullif({a}, 'nan')"
     ) + " FROM reviews"
-    out["read_reviews_two_folders"] = f"WITH {_REVIEWS} SELECT doc_id, 'x' AS cmt, " + _aspect_columns(
+    out["read_reviews_two_folders"] = f"WITH {_REVIEWS} SELECT doc_id, cmt, " + _aspect_columns(
         lambda j, a: f"nullif({a}, 'nan')"
     ) + " FROM reviews"
     cells = ", ".join(dv.ACRONYMS.values())
@@ -233,21 +234,21 @@ def oracle_sql() -> dict[str, str]:
         f"{_READERS} SELECT doc_id AS id, r.cmt AS review, {_SENTIMENT_COLUMNS} "
         "FROM a1 JOIN (SELECT doc_id, cmt FROM reviews) r USING (doc_id)"
     )
-    out["annotations_csv_unlabelled"] = "SELECT doc_id AS id, 'x' AS review, " + ", ".join(
+    out["annotations_csv_unlabelled"] = f"SELECT doc_id AS id, {dv.CMT} AS review, " + ", ".join(
         f"CAST(NULL AS VARCHAR) AS {_q(a)}" for a in ANNOTATION_ASPECTS
     ) + " FROM documents"
 
     out["clean_reviews"] = f"WITH {_REVIEWS} SELECT doc_id, {_advanced('cmt')} AS cmt, " + _aspect_columns(
         lambda j, a: _value(a)
     ) + " FROM reviews"
-    out["row_index"] = 'SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS "ColumnIndex" FROM documents'
+    out["row_index"] = f'SELECT doc_id, {dv.CMT} AS cmt, row_number() OVER (ORDER BY doc_id) - 1 AS "ColumnIndex" FROM documents'
     out["document_at"] = (
         f"{_READERS} SELECT id, review, labels FROM (SELECT doc_id AS id, r.cmt AS review, {_LABEL_TEXT} AS labels, "
         "row_number() OVER (ORDER BY doc_id) - 1 AS place FROM a1 JOIN (SELECT doc_id, cmt FROM reviews) r USING (doc_id)) "
         "WHERE place = 42"
     )
     out["hash_split"] = (
-        "SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('50:' || doc_id), 1, 8) AS BIGINT) % 1000 < 800 "
+        f"SELECT doc_id, {dv.CMT} AS cmt, CASE WHEN CAST('0x' || substr(md5('50:' || doc_id), 1, 8) AS BIGINT) % 1000 < 800 "
         "THEN 'train' ELSE 'test' END AS side FROM documents"
     )
     out["parse_labels"] = f"WITH {_REVIEWS} SELECT doc_id, {_aspect_columns(lambda j, a: _value(a))} FROM reviews"
@@ -352,6 +353,11 @@ def oracle_sql() -> dict[str, str]:
         "round(tf * ln(((SELECT CAST(count(*) AS DOUBLE) FROM documents) + 1) / (df + 1)), 6) AS tfidf "
         "FROM per_doc JOIN stats USING (term)"
     )
+    for arch in formulas.HIDDEN:
+        values = ", ".join(f"round({sql}, 10) AS p{i}" for i, sql in enumerate(formulas.outputs(arch)))
+        out[f"forward_{arch}"] = f"SELECT l_orderkey, l_linenumber, {values} FROM lineitem"
+    for name in ("stored_model", "stream_score", "random_split", "auto_label_rest"):
+        out[f"{name}_difference"] = "SELECT CAST(0 AS BIGINT) AS n_different"
     out["count_vectors"] = f"{_WORDS} SELECT doc_id, term, tf FROM per_doc JOIN stats USING (term) WHERE df >= 5"
     out["hashing_tf"] = f"{_WORDS} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n_words FROM per_doc GROUP BY doc_id"
     out["learn_phrases"] = f"{_PHRASES} SELECT a, b, n_ab, n_a, n_b, round(score, 6) AS score FROM found"

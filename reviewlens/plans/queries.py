@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +15,9 @@ from reviewlens.functions import patterns as pt
 from reviewlens.functions import text as tx
 from reviewlens.operators import annotate, metrics, phrases, rows, terms
 from reviewlens.operators.features import feature_pipeline
-from reviewlens.operators.net import AspectNet
+from reviewlens.operators.net import AspectNet, AspectNetModel
 from reviewlens.plans import derived as dv
-from reviewlens.plans import jobs
+from reviewlens.plans import formulas, jobs
 from reviewlens.schema import ANNOTATION_ASPECTS, ASPECTS
 from reviewlens.session import scratch_path
 from reviewlens.sources import annotations as an
@@ -86,10 +86,13 @@ def read_reviews(spark, sf_dir):
 def read_reviews_two_folders(spark, sf_dir):
     """Two folders loaded and their rows put together."""
     paths = []
-    table = dv.reviews(spark, sf_dir, text=False).select("doc_id", F.lit("x").alias("cmt"), *ASPECTS)
+    table = dv.reviews(spark, sf_dir)
     for even in (0, 1):
         paths.append(scratch_path(spark, "reviews-part"))
-        table.filter(F.col("doc_id") % 2 == even).write.option("header", True).csv(paths[-1])
+        (
+            table.filter(F.col("doc_id") % 2 == even).write.option("header", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(paths[-1])
+        )
     return rv.read_reviews(spark, paths, keep=["doc_id"]).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -122,7 +125,10 @@ def annotations_csv(spark, sf_dir):
 def annotations_csv_unlabelled(spark, sf_dir):
     """A two-column file gets seven empty aspect columns."""
     path = scratch_path(spark, "annotations-csv")
-    dv.annotated(spark, sf_dir, text=False).select("id", F.lit("x").alias("review")).write.option("header", True).csv(path)
+    (
+        dv.annotated(spark, sf_dir).select("id", "review").write.option("header", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
     return an.read_annotations_csv(spark, path).withColumn("id", F.col("id").cast("long"))
 
 
@@ -141,26 +147,28 @@ def clean_sentences(spark, sf_dir):
 
 @query
 def row_index(spark, sf_dir):
-    return rows.with_row_index(dv.table(spark, sf_dir, "documents").select("doc_id"), order_by=["doc_id"])
+    return rows.with_row_index(dv.texts(spark, sf_dir), order_by=["doc_id"]).select("doc_id", "cmt", "ColumnIndex")
 
 
 @query
 def document_at(spark, sf_dir):
     """The review at one position, with its label text."""
-    indexed = rows.with_row_index(dv.annotated(spark, sf_dir), order_by=["id"])
-    return annotate.document(indexed, 42).select("id", "review", lb.encode_label_text().alias("labels"))
+    table = dv.annotated(spark, sf_dir)
+    # Only ids are sorted and kept; the row itself is looked up.
+    indexed = rows.with_row_index(table.select("id"), order_by=["id"])
+    found = table.join(F.broadcast(annotate.document(indexed, 42).select("id")), "id", "left_semi")
+    return found.select("id", "review", lb.encode_label_text().alias("labels"))
 
 
 @query
 def hash_split(spark, sf_dir):
-    train, test = rows.split_reviews(dv.table(spark, sf_dir, "documents").select("doc_id"))
+    train, test = rows.split_reviews(dv.texts(spark, sf_dir).select("doc_id", "cmt"))
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
 
 
 @query
 def random_split(spark, sf_dir):
-    docs = dv.table(spark, sf_dir, "documents").select("doc_id")
-    train, test = rows.split_reviews(docs, method="random")
+    train, test = rows.split_reviews(dv.texts(spark, sf_dir).select("doc_id", "cmt"), method="random")
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
 
 
@@ -390,12 +398,12 @@ def document_terms(spark, sf_dir):
 def count_vectors(spark, sf_dir):
     """The word-count pipeline with room for the whole vocabulary, its vectors as terms."""
     table = _cleaned(spark, sf_dir)
-    model = feature_pipeline("wordcount", 1 << 18).fit(table)
+    room = terms.term_stats(table).filter(F.col("df") >= 5).count()
+    model = feature_pipeline("wordcount", max(1, room)).fit(table)
     counter = next(s for s in model.stages if isinstance(s, CountVectorizerModel))
-    # Bounded by vocabSize.
     names = spark.createDataFrame(pd.DataFrame({"at": range(len(counter.vocabulary)), "term": counter.vocabulary}))
     cells = model.transform(table).select("doc_id", F.inline(_sparse_cells("features")))
-    found = cells.filter(F.col("value") != 0).join(F.broadcast(names), "at")
+    found = cells.filter(F.col("value") != 0).join(names, "at")
     return found.select("doc_id", "term", F.col("value").cast("long").alias("tf"))
 
 
@@ -405,7 +413,7 @@ def hashing_tf(spark, sf_dir):
     table = _cleaned(spark, sf_dir)
     hashed = feature_pipeline("tfidf", 10_000).getStages()[1]
     words = feature_pipeline("tfidf", 10_000).getStages()[0].transform(table)
-    total = F.aggregate(vector_to_array("rawFeatures"), F.lit(0.0), lambda s, x: s + x)
+    total = F.aggregate(F.unwrap_udt("rawFeatures")["values"], F.lit(0.0), lambda s, x: s + x)
     return hashed.transform(words).select("doc_id", total.cast("long").alias("n_words"))
 
 
@@ -433,7 +441,7 @@ def learn_phrases(spark, sf_dir):
 def apply_phrases(spark, sf_dir):
     table = _cleaned(spark, sf_dir)
     found = phrases.learn_phrases(table, threshold=PHRASE_THRESHOLD)
-    return phrases.apply_phrases(table, found, "doc_id")
+    return phrases.apply_phrases(table, found)
 
 
 # --- models ----------------------------------------------------------------------------------
@@ -458,6 +466,59 @@ for _arch in ("mlp", "rnn", "gru", "lstm"):
     _train_query(_arch)
 
 
+def _forward_query(arch: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """A network with fixed weights over order lines; its outputs where they equal the closed formula, else null."""
+        net = AspectNetModel(formulas.weights(arch))
+        net.set(net.arch, arch)
+        lines = dv.table(spark, sf_dir, "lineitem").withColumn("features", array_to_vector(F.array(*map(F.expr, formulas.INPUTS))))
+        scored = net.transform(lines)
+        values = [F.expr(sql) for sql in formulas.outputs(arch)]
+        return scored.select("l_orderkey", "l_linenumber", *[
+            F.when(F.abs(F.get("prediction", F.lit(i)) - v) < 1e-5, F.round(v, 10)).alias(f"p{i}") for i, v in enumerate(values)
+        ])
+
+    _QUERIES[f"forward_{arch}"] = run
+
+
+for _arch in ("mlp", "rnn", "gru", "lstm"):
+    _forward_query(_arch)
+
+
+def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Number of rows that one of two tables has more often than the other."""
+    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("n_different"))
+
+
+@query
+def stored_model_difference(spark, sf_dir):
+    """Scores of the stored features and network against those of the fitted ones."""
+    saved = {"features_path": scratch_path(spark, "features"), "net_path": scratch_path(spark, "net")}
+    done = _train(spark, sf_dir, "lstm", **saved)
+    texts, prep = dv.texts(spark, sf_dir), jobs.Prep("basic")
+    stored = jobs.load_features(saved["features_path"]), jobs.load_net(saved["net_path"])
+    return _differing(jobs.score(texts, done.features, done.net, prep, ["doc_id"]), jobs.score(texts, *stored, prep, ["doc_id"]))
+
+
+@query
+def stream_score_difference(spark, sf_dir):
+    """Scores of a stream of files against those of the table."""
+    done, prep = _train(spark, sf_dir, "gru"), jobs.Prep("basic")
+    source, out, mark = (scratch_path(spark, n) for n in ("texts", "scores", "scores-checkpoint"))
+    dv.texts(spark, sf_dir).write.parquet(source)
+    stream = spark.readStream.schema("doc_id long, cmt string").parquet(source)
+    write_scores(score_stream(stream, done.features, done.net, prep, ["doc_id"]), out, mark).awaitTermination()
+    return _differing(spark.read.parquet(out), jobs.score(spark.read.parquet(source), done.features, done.net, prep, ["doc_id"]))
+
+
+@query
+def random_split_difference(spark, sf_dir):
+    """Both sides of a random split, put together, against the whole table."""
+    table = dv.texts(spark, sf_dir).select("doc_id", "cmt")
+    train, test = rows.split_reviews(table, method="random")
+    return _differing(train.unionByName(test), table)
+
+
 @query
 def evaluate(spark, sf_dir):
     """Stored features and network over the whole table."""
@@ -521,6 +582,15 @@ def auto_label_all(spark, sf_dir):
     return annotate.auto_label(table, features, net).drop("review")
 
 
+@query
+def auto_label_rest_difference(spark, sf_dir):
+    """Rows that were not chosen to be labelled anew, before and after."""
+    table, features, net = _annotator(spark, sf_dir)
+    ids = dv.table(spark, sf_dir, "labels").filter(F.col("quality") == 0).select(F.col("doc_id").alias("id"))
+    labelled = annotate.auto_label(table, features, net, ids=ids)
+    return _differing(labelled.join(ids, "id", "left_anti").select(*table.columns), table.join(ids, "id", "left_anti"))
+
+
 @query
 def auto_label_some(spark, sf_dir):
     """Only documents with a negative quality mark are labelled anew."""

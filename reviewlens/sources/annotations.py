@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from reviewlens.functions.labels import decode_label_text, encode_label_text
+from reviewlens.functions.labels import LABEL_PAIR, decode_label_text, encode_label_text
 from reviewlens.operators.rows import with_row_index
 from reviewlens.schema import ANNOTATION_ASPECTS
 from reviewlens.sources.reviews import read_csv
@@ -68,20 +68,24 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     offsets = splits.select(
         "file", "split", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift")
     )
-    return lines.join(offsets, ["file", "split"]).select(
+    # One row per split: the broadcast is bounded by the number of tasks, and no line is shuffled for it.
+    return lines.join(F.broadcast(offsets), ["file", "split"]).select(
         (F.col("at") + F.col("shift")).alias("line"), "value"
     )
 
 
 def read_annotations_txt(
-    spark: SparkSession, paths: Mapping[str, str], offset: int = 2
+    spark: SparkSession, paths: Mapping[str, str], offset: int = 2, unknown: str = "raise"
 ) -> DataFrame:
     """(annotator, rec, review, labels, seven aspect columns) from files of four-line blocks.
 
     ``paths`` maps annotator to a file, or to a folder whose files are one text in name order.
     ``offset`` is the line of the first review: 2 for a file
-    with a header line, 1 for one without. The label line is the one after the review.
+    with a header line, 1 for one without. The label line is the one after the review. An aspect that is
+    not known raises; with ``unknown="skip"`` it is left out, and ``labels.unknown_label_names`` lists it.
     """
+    if unknown not in ("raise", "skip"):
+        raise ValueError("unknown must be 'raise' or 'skip'")
     def blocks(annotator: str, path: str) -> DataFrame:
         shifted = F.col("line") - offset
         picked = numbered_lines(spark, path).filter((shifted >= 0) & (F.pmod(shifted, F.lit(4)) < 2))
@@ -98,6 +102,12 @@ def read_annotations_txt(
         )
 
     tables = reduce(DataFrame.unionByName, [blocks(a, p) for a, p in paths.items()])
+    if unknown == "raise":
+        found = F.array_except(
+            F.regexp_extract_all("labels", F.lit(LABEL_PAIR), F.lit(1)), F.array(*map(F.lit, ANNOTATION_ASPECTS))
+        )
+        refused = F.raise_error(F.concat(F.lit("not an aspect: "), F.array_join(found, ", ")))
+        tables = tables.withColumn("labels", F.when(F.size(found) > 0, refused).otherwise(F.col("labels")))
     return decode_label_text(tables, "labels", ["annotator", "rec", "review", "labels"])
 
 

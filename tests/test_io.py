@@ -165,3 +165,11 @@ def test_spread_out_leaves_wide_inputs_alone(spark):
     wide = spark.range(0, 100, 1, 16)
     assert se.spread_out(wide) is wide
     assert se.spread_out(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 4
+
+
+def test_unknown_aspects_in_text_files_raise_or_are_skipped(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("#1\nreview\n{PRICE, neutral}, {PARKING, positive}\n\n", encoding="utf-8")
+    with pytest.raises(Exception, match="not an aspect: PARKING"):
+        an.read_annotations_txt(spark, {"a": str(tmp_path / "a.txt")}, offset=1).collect()
+    row = an.read_annotations_txt(spark, {"a": str(tmp_path / "a.txt")}, offset=1, unknown="skip").collect()[0]
+    assert row["PRICE"] == "neutral"

@@ -48,7 +48,13 @@ def test_blank_absent(spark):
 
 def test_codes_and_names(spark):
     assert col(spark, [0, 1, 2, 3, None], "int", lb.code_to_sentiment) == [None, "negative", "neutral", "positive", None]
-    assert col(spark, [None, "dne", "negative", "neutral", "positive", "odd"], "string", lb.sentiment_to_code) == [0, 0, 1, 2, 3, None]
+    names = [None, "dne", "negative", "neutral", "positive"]
+    assert col(spark, names, "string", lb.sentiment_to_code) == [0, 0, 1, 2, 3]
+    assert col(spark, [*names, "odd"], "string", lambda c: lb.sentiment_to_code(c, "null")) == [0, 0, 1, 2, 3, None]
+    with pytest.raises(Exception, match="not a sentiment: good"):
+        col(spark, ["good"], "string", lb.sentiment_to_code)
+    wide = spark.createDataFrame([(1, "good", "neutral")], "k int, a string, b string")
+    assert [tuple(r) for r in lb.unknown_sentiments(wide, ["a", "b"], ["k"]).collect()] == [(1, "a", "good")]
     assert col(spark, [0, 1, 2, 3], "int", lb.code_to_training) == [-2, -1, 0, 1]
     assert col(spark, [-2.2, -1.0, 0.1, 3.0], "float", lb.training_to_code) == [0, 1, 2, 3]
     assert col(spark, [[0, 3]], "array<int>", lb.to_multilabel) == [[False] * 5 + [True]]

@@ -116,6 +116,38 @@ def test_misaligned_and_agreement(spark):
     assert [(r["annotator"], r["f1"]) for r in marks] == [("b", pytest.approx(2 / 3))]
 
 
+def test_missing_reviews_are_equal(spark):
+    df = annotations(spark).withColumn("review", F.when(F.col("rec") > 0, F.col("review")))
+    df = df.withColumn("review", F.when((F.col("rec") == 1) & (F.col("annotator") == "a"), F.col("review")))
+    assert {tuple(r) for r in annotate.misaligned(df.filter("rec < 2"), "a", "b").collect()} == {(1, "different review")}
+
+
+@pytest.mark.parametrize(("aspect", "sentiment"), [("PARKING", "positive"), ("price", "positive"), (None, "positive")])
+def test_edits_of_unknown_aspects_raise(spark, aspect, sentiment):
+    df = annotations(spark).filter("annotator = 'a'").withColumnRenamed("rec", "doc_id")
+    edits = spark.createDataFrame([(0, aspect, sentiment, 1)], "doc_id long, aspect string, sentiment string, seq long")
+    with pytest.raises(Exception, match="not an aspect"):
+        annotate.apply_edits(df, edits).collect()
+
+
+@pytest.mark.parametrize("average", ["micro", "macro", "weighted", "samples"])
+def test_f1_options(spark, average):
+    rng = random.Random(3)
+    data = [([rng.randrange(4) for _ in range(7)], [rng.randrange(4) for _ in range(7)], rng.randrange(1, 5)) for _ in range(40)]
+    df = spark.createDataFrame([*data, ([0] * 7, [0] * 7, 2)], "y_true array<int>, y_pred array<int>, w int")
+    plain = metrics.multilabel_f1(df, average).collect()[0]["f1"]
+    same = metrics.multilabel_f1(df, average, labels=range(21)).collect()[0]["f1"]
+    assert same == pytest.approx(plain)
+    repeated = df.withColumn("n", F.explode(F.sequence(F.lit(1), "w"))).drop("n")
+    want = metrics.multilabel_f1(repeated, average).collect()[0]["f1"]
+    assert metrics.multilabel_f1(df, average, sample_weight="w").collect()[0]["f1"] == pytest.approx(want)
+    empty = spark.createDataFrame([([0] * 7, [0] * 7)], "y_true array<int>, y_pred array<int>")
+    assert metrics.multilabel_f1(empty, average, zero_division=1.0).collect()[0]["f1"] == 1.0
+    first = df.select(F.slice("y_true", 1, 1).alias("y_true"), F.slice("y_pred", 1, 1).alias("y_pred"))
+    alone = metrics.multilabel_f1(first, average, aspects=ANNOTATION_ASPECTS[:1]).collect()[0]["f1"]
+    assert metrics.multilabel_f1(df, average, labels=[0, 1, 2]).collect()[0]["f1"] == pytest.approx(alone)
+
+
 def test_edits_latest_wins_and_dne_clears(spark):
     df = annotations(spark).filter("annotator = 'a'").drop("annotator").withColumnRenamed("rec", "doc_id")
     edits = spark.createDataFrame(

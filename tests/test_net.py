@@ -83,10 +83,19 @@ def test_result_depends_on_seed_and_partitions_only(spark):
     assert any(not np.array_equal(a.weights[k], c.weights[k]) for k in a.weights)
 
 
+def test_repeated_keys_give_the_same_weights_from_any_layout(spark):
+    rows = separable(spark, 900).withColumn("id", F.col("id") % 3).collect()
+    frames = [spark.createDataFrame(rows, separable(spark).schema).repartition(n) for n in (2, 5)]
+    a, b = (AspectNet(arch="gru", hidden=[8], maxEpoch=1, keyCol="id", numPartitions=3).fit(f) for f in frames)
+    assert all(np.array_equal(a.weights[k], b.weights[k]) for k in a.weights)
+
+
 def test_a_key_holding_most_rows_is_spread(spark):
-    df = separable(spark, 40_000).withColumn("id", F.when(F.col("id") % 3 != 0, 0).otherwise(F.col("id")))
-    with pytest.warns(UserWarning, match="unique"):
-        placed, width, out = AspectNet(arch="rnn", keyCol="id", numPartitions=8)._training_rows(df)
+    # Rows are spread by all they hold; rows equal in everything stay together.
+    x = F.array(F.col("id") / 40_000, F.lit(1.0), F.lit(0.0), F.lit(1.0))
+    df = separable(spark, 40_000).withColumn("features", array_to_vector(x))
+    df = df.withColumn("id", F.when(F.col("id") % 3 != 0, 0).otherwise(F.col("id")))
+    placed, width, out = AspectNet(arch="rnn", keyCol="id", numPartitions=8)._training_rows(df)
     sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 40_000 and max(sizes) < 6000 and (width, out) == (4, 7)
 

@@ -73,14 +73,22 @@ def test_long_phrase_lists_are_joined_with_the_same_result(spark):
     lines = ["a b c a b", "a a a a", "x", "", "c  a b", "b c b c", "a b", "it's \\n it's \\n"]
     df = spark.createDataFrame(list(enumerate(lines)), "k long, cmt string")
     found = spark.createDataFrame([("a", "b", 9), ("b", "c", 5), ("a", "a", 3), ("it's", "\\n", 2)], "a string, b string, n_ab long")
-    short = phrases.apply_phrases(df, found, "k").orderBy("k").collect()
-    joined = phrases.apply_phrases(df, found, "k", literal_limit=1).orderBy("k").collect()
+    short = phrases.apply_phrases(df, found).orderBy("k").collect()
+    joined = phrases.apply_phrases(df, found, literal_limit=1).orderBy("k").collect()
     assert short == joined
     assert [r["cmt"] for r in short] == ["a_b c a_b", "a_a a_a", "x", "", "c a_b", "b_c b_c", "a_b", "it's_\\n it's_\\n"]
-    none = phrases.apply_phrases(df, found.limit(0), "k").orderBy("k").collect()
+    none = phrases.apply_phrases(df, found.limit(0)).orderBy("k").collect()
     assert none[4]["cmt"] == "c a b"
 
 
+def test_phrase_paths_agree_on_repeated_and_null_keys(spark):
+    rows = [(1, "a b c d"), (1, "x y a b"), (None, "a b c d"), (None, "x y")]
+    df = spark.createDataFrame(rows, "k long, cmt string")
+    found = spark.createDataFrame([("a", "b", 3), ("x", "y", 2)], "a string, b string, n_ab long")
+    short, joined = (sorted(r["cmt"] for r in phrases.apply_phrases(df, found, literal_limit=n).collect()) for n in (100, 1))
+    assert short == joined == ["a_b c d", "a_b c d", "x_y", "x_y a_b"]
+
+
 def test_feature_pipelines(spark):
     df = spark.createDataFrame([(i, f"ngon quá {i % 3} w{i % 2}", [1.0] * 7) for i in range(30)], "id long, cmt string, label array<float>")
     train, test = df.filter("id < 20"), df.filter("id >= 20")
