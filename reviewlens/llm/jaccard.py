@@ -255,35 +255,30 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def tree_links(sets: list[np.ndarray], side: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect the sets as far as all links would: within the sets if all have side 0, else between sides."""
+def connect(sets: list[np.ndarray], side: np.ndarray, labels: np.ndarray, percent: int) -> list[int]:
+    """For every set the first set known to be connected with it: by equal labels, by links within the sets if
+    all have side 0, else by links between the sides."""
     order = sorted(range(len(sets)), key=lambda i: (side[i], len(sets[i]), int(sets[i][0])))
-    known, found = _Known(labels), []
+    known = _Known(labels)
     groups = [[i for i in order if side[i] == k] for k in (0, 1)]
-    trees = [SignatureTree([sets[i] for i in g]) if g else None for g in groups]
-    if not groups[0] or side.any() and not groups[1]:
-        return found
     left, right = (0, 1) if side.any() else (0, 0)
-    for xs, ys in _pairs(trees[left], trees[right], percent):
-        for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
-            i, j = groups[left][x], groups[right][y]
-            p, q = known.top(i), known.top(j)
-            if p != q and linked(sets[i], sets[j], percent):
-                known.join(p, q)
-                found.append((i, j))
-    return found
+    if groups[left] and groups[right]:
+        trees = [SignatureTree([sets[i] for i in g]) if g else None for g in groups]
+        for xs, ys in _pairs(trees[left], trees[right], percent):
+            for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                i, j = groups[left][x], groups[right][y]
+                p, q = known.top(i), known.top(j)
+                if p != q and linked(sets[i], sets[j], percent):
+                    known.join(p, q)
+    return [known.top(i) for i in range(len(sets))]
 
 
 # --- the join --------------------------------------------------------------------------------
 
 
-def _traverse(pairs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) of every pair of blocks (tree, i, j); members: tree, block, sig, label, text."""
-    alone = pairs.filter("i = j").join(members.withColumnRenamed("block", "i"), ["tree", "i"]).withColumn("side", F.lit(0))
-    other = pairs.filter("i <> j")
-    left = other.join(members.withColumnRenamed("block", "i"), ["tree", "i"]).withColumn("side", F.lit(0))
-    right = other.join(members.withColumnRenamed("block", "j"), ["tree", "j"]).withColumn("side", F.lit(1))
-    columns = ["tree", "i", "j", "side", "sig", "label", "text"]
+def _connected(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(sig, label, root) of the sets of every pair of blocks (tree, i, j); rows: tree, i, j, side, sig, label,
+    text. Sets with equal root are connected."""
 
     def run(table: pa.Table) -> pa.Table:
         sets = [s for _, _, w in blocks(table.column("text")) for s in shingle_sets(w, words)]
@@ -291,12 +286,39 @@ def _traverse(pairs: DataFrame, members: DataFrame, words: int, percent: int) ->
         # Where an id repeats, its other texts came along.
         own = {(x, k): i for i, (x, k) in enumerate(zip(sig.tolist(), side.tolist(), strict=True)) if set_hash(sets[i]) == x}
         at = np.array(sorted(own.values()), np.int64)
-        sig = sig[at]
-        found = np.array(tree_links([sets[i] for i in at], side[at], label[at], percent), np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(sig[found[:, 0]]), "b": pa.array(sig[found[:, 1]])})
+        sig, label = sig[at], label[at]
+        root = label[np.array(connect([sets[i] for i in at], side[at], label, percent), np.int64)]
+        return pa.table({"sig": pa.array(sig), "label": pa.array(label), "root": pa.array(root)})
 
-    rows = alone.select(columns).union(left.select(columns)).union(right.select(columns))
-    return rows.groupBy("tree", "i", "j").applyInArrow(run, "a long, b long")
+    columns = ["tree", "i", "j", "side", "sig", "label", "text"]
+    return rows.select(columns).groupBy("tree", "i", "j").applyInArrow(run, "sig long, label long, root long")
+
+
+def _across_blocks(labels: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """``labels`` (sig, label) after the blocks of large trees met: first each with the first one of its size band
+    and of the band below, then all that are not yet one component. members: tree, band, block, sig, text."""
+    for step in ("neighbour", "rest"):
+        labelled = cut_lineage(members.join(labels, "sig"))
+        state = labelled.groupBy("tree", "band", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        state = cut_lineage(state)
+        if step == "neighbour":
+            first = state.groupBy("tree", "band").agg(F.min("block").alias("j"))
+            near = first.withColumn("band", F.col("band") + 1).union(first)
+        else:
+            near = state.select("tree", "band", F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+            near = near.union(near.withColumn("band", F.col("band") + 1))
+        pairs = state.withColumnRenamed("block", "i").join(near, ["tree", "band"]).filter("i <> j")
+        if step == "rest":
+            pairs = pairs.filter(~((F.col("low") == F.col("high")) & (F.col("low_j") == F.col("high_j")) & (F.col("low") == F.col("low_j"))))
+        pairs = cut_lineage(pairs.select("tree", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct())
+        if pairs.isEmpty():
+            continue
+        sides = pairs.select("tree", "i", "j", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("s"))
+        rows = sides.select("tree", "i", "j", "s.*").join(labelled, ["tree", "block"])
+        edges = _connected(rows, words, percent).filter("label <> root").select(F.col("label").alias("a"), F.col("root").alias("b"))
+        found = components(edges.distinct()).select(F.col("node").alias("label"), "component")
+        labels = labels.join(found, "label", "left").select("sig", F.coalesce("component", "label").alias("label"))
+    return labels
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -335,30 +357,12 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block:
         .write.parquet(path)
     )
     members = spark.read.parquet(path)
-    all_blocks = cut_lineage(members.select("tree", "large", "band", "block").distinct())
-    alone = all_blocks.select("tree", F.col("block").alias("i"), F.col("block").alias("j"))
-    links = cut_lineage(_traverse(alone, members.withColumn("label", F.col("sig")), words, percent))
-
-    several = all_blocks.filter("large")
-    if several.limit(1).count():
-        for step in ("neighbour", "rest"):
-            found = components(links)
-            label = F.coalesce("component", "sig")
-            labelled = members.filter("large").join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", label).drop("component")
-            state = labelled.groupBy("tree", "band", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-            if step == "neighbour":
-                first = state.groupBy("tree", "band").agg(F.min("block").alias("j"))
-                near = first.withColumn("band", F.col("band") + 1).union(first)
-            else:
-                near = state.select("tree", "band", F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
-                near = near.union(near.withColumn("band", F.col("band") + 1))
-            pairs = state.withColumnRenamed("block", "i").join(near, ["tree", "band"]).filter("i <> j")
-            if step == "rest":
-                pairs = pairs.filter(~((F.col("low") == F.col("high")) & (F.col("low_j") == F.col("high_j")) & (F.col("low") == F.col("low_j"))))
-            pairs = pairs.select("tree", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
-            links = cut_lineage(links.union(_traverse(cut_lineage(pairs), labelled, words, percent)))
-
-    found = components(links).select(F.col("node").alias("sig"), "component")
+    alone = members.withColumns({"i": F.col("block"), "j": F.col("block"), "side": F.lit(0), "label": F.col("sig")})
+    labels = cut_lineage(_connected(alone, words, percent).select("sig", F.col("root").alias("label")))
+    large = members.filter("large")
+    if not large.isEmpty():
+        labels = cut_lineage(_across_blocks(labels, large, words, percent))
+    found = labels.withColumnRenamed("label", "component")
     of_set = sets.select("sig", "doc_id").join(found, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     lowest = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = of_set.join(lowest, "component").select("sig", "component_id")

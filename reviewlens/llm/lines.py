@@ -57,7 +57,7 @@ def _n_words(words: Column) -> Column:
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, at, words, h): every line that is not blank; at counts from 0; lines with equal h have equal words."""
     lines = docs.filter("text is not null").select("doc_id", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
-    lines = lines.select("doc_id", "at", _normal(F.col("line")).alias("words")).filter("words <> ''")
+    lines = lines.filter(F.trim("line", F.lit(_BLANKS)) != "").select("doc_id", "at", _normal(F.col("line")).alias("words"))
     return lines.withColumn("h", F.xxhash64("words"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -20,8 +21,8 @@ from tokenizers import Tokenizer
 
 from reviewlens.llm.words import _BYTE, U64, _powers, mix, utf8
 
-BLOCK = 4 << 20
-CACHE = 500_000  # distinct chunks remembered by a task; beyond, it starts anew
+BLOCK = 2 << 20
+CACHE = 300_000  # distinct chunks remembered by a task; beyond, it starts anew
 SPECIAL = "<|endoftext|>"
 
 # First bytes of UTF-8 sequences that may be white space beyond ASCII, and all ASCII up to the space.
@@ -36,7 +37,7 @@ class Ids:
     """Encoder for the vocabulary file ``name`` of the public tokenizers (``.json``, with its ranks beside it)."""
 
     def __init__(self, name: str = "byte_bpe_50k.json") -> None:
-        self.whole = Tokenizer.from_file(public_tokenizers.path(name))
+        self.name = name
         lines = Path(public_tokenizers.path(name.replace(".json", ".tiktoken"))).read_bytes().splitlines()
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines)}
         self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -45,6 +46,11 @@ class Ids:
             self.bytes_of[rank] = len(token)
         self._forget()
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """The tokenizer itself, for texts that spell out a special token; few do, and it is large."""
+        return Tokenizer.from_file(public_tokenizers.path(self.name))
+
     def _encode(self, text: bytes) -> np.ndarray:
         return self.ranks.encode_to_numpy(text.decode("utf-8", "replace"), disallowed_special=())
 

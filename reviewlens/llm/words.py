@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BLOCK_BYTES = 2 << 20  # texts handled at once; a longer single text is a block of its own
+BLOCK_BYTES = 1 << 20  # texts handled at once; a longer single text is a block of its own
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -42,7 +42,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS["up"]) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = max(n, 2 * BLOCK_BYTES + 1)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             steps = np.full(size, base, U64)
             steps[0] = 1
