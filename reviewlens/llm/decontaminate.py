@@ -3,7 +3,13 @@
 A text's words are cut into windows as long as a benchmark item. The SimHash of a window's weighted
 shingles is looked up in a multi-index: fingerprints are cut into eight blocks, and if two differ in at
 most ``RADIUS`` bits, one block differs in at most ``RADIUS // 8``, so looking up every block value that near
-finds all of them. Candidates are verified by exact weighted Jaccard similarity of the shingles.
+finds all of them. Fingerprints of similar windows can still differ in more bits, so every window that an upper
+bound of its similarity does not rule out is a candidate too: the weight of the shingles it has in common with the
+item is at most that of its places with a shingle of the item. Candidates are verified by exact similarity.
+
+A shingle weighs 1 / (items of the pass that hold it). As this makes a new word count
+more than the words of a repeated item, a window matches if its weighted or its plain (all weights 1)
+Jaccard similarity is high enough.
 
 A window without a shingle of an item has similarity 0 to it, so fingerprints are computed only for
 windows that hold one; no window that could match is left out.
@@ -39,6 +45,14 @@ def _rolled(h: np.ndarray, size: int) -> np.ndarray:
     return mix(out + U64(size))
 
 
+def _rolled_at(h: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """The shingles that begin at ``places``."""
+    out = np.zeros(len(places), U64)
+    for k in range(size):
+        out = mix(out + U64(k + 1)) + h[places + k]
+    return mix(out + U64(size))
+
+
 def _signs(shingles: np.ndarray) -> np.ndarray:
     return np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32) * 2 - 1
 
@@ -53,6 +67,7 @@ class Index:
 
     def __init__(self, items: list[tuple], words: int, similarity: float) -> None:
         self.words, self.similarity = words, similarity
+        self.total = []  # weight and number of an item's shingles
         self.items = []  # (item_id, words in the item, shingle size, shingle -> weight)
         hashes = []
         column = pa.array([t for _, t in items], pa.string())
@@ -69,6 +84,7 @@ class Index:
             shingles = _rolled(h, size)
             k = len(self.items)
             self.items.append((item_id, len(h), size, self._weights(shingles)))
+            self.total.append((sum(self.items[k][3].values()), len(shingles)))
             for s in set(shingles.tolist()):
                 self.by_shingle[size][s].append(k)
             by_length[len(h)].append((k, _fingerprints(self._sums(shingles))[0]))
@@ -99,10 +115,35 @@ class Index:
             out.append(items[rows[np.bitwise_count(own[rows] ^ p).sum(1) <= RADIUS]])
         return out
 
-    def similar(self, k: int, shingles: np.ndarray) -> float:
-        a, b = self.items[k][3], self._weights(shingles)
-        common = sum(min(v, b[s]) for s, v in a.items() if s in b)
-        return common / (sum(a.values()) + sum(b.values()) - common)
+    def similar(self, k: int, shingles: np.ndarray) -> tuple[float, float]:
+        """Weighted and plain similarity."""
+        a, b = self.items[k][3], Counter(shingles.tolist())
+        common = weighted = 0.0
+        size = all_ = 0.0
+        for s, n in b.items():
+            weight = self.weight.get(s, 1.0)
+            size += n
+            all_ += n * weight
+            if s in a:
+                both = min(n * weight, a[s])
+                weighted += both
+                common += both / weight
+        total, number = self.total[k]
+        return weighted / (total + all_ - weighted), common / (number + size - common)
+
+    def _possible(self, k: int, h: np.ndarray, places: list[int]) -> np.ndarray:
+        """Starts of the windows whose similarity to item ``k`` may be high enough, by the weight of ``places``."""
+        _, length, size, _ = self.items[k]
+        total, number = self.total[k]
+        places = np.array(sorted(places))
+        own = np.array([self.weight.get(s, 1.0) for s in _rolled_at(h, places, size).tolist()])
+        if len(places) < self.similarity * number - 1e-9 and own.sum() < self.similarity * total - 1e-9:
+            return places[:0]
+        span, last = length - size + 1, max(0, len(h) - length)
+        starts = np.unique(np.clip((places[:, None] - np.arange(span)).ravel(), 0, last))
+        sums = np.concatenate([[0.0], np.cumsum(own)])
+        low, high = np.searchsorted(places, starts), np.searchsorted(places, starts + span)
+        return starts[(high - low >= self.similarity * number - 1e-9) | (sums[high] - sums[low] >= self.similarity * total - 1e-9)]
 
     def text(self, h: np.ndarray, hits: dict[int, list[int]]) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of the best window for every item that matches.
@@ -110,13 +151,16 @@ class Index:
         ``hits``: places of shingles by item.
         """
         windows = defaultdict(set)  # (words in the window, shingle size) -> starts
+        possible = defaultdict(lambda: defaultdict(set))  # likewise -> start -> items
         for k, places in hits.items():
             _, length, size, _ = self.items[k]
             span = length - size + 1  # shingles in a window
             last = max(0, len(h) - length)
             for p in places:
                 windows[length, size].update(range(max(0, min(last, p - span + 1)), min(last, p) + 1))
-        best: dict[int, tuple[float, int, int]] = {}
+            for start in self._possible(k, h, places).tolist():
+                possible[length, size][start].add(k)
+        best: dict[int, tuple[bool, float, int, int]] = {}
         for (length, size), starts in windows.items():
             shingles, starts = _rolled(h, size), np.array(sorted(starts))
             span = min(length - size + 1, len(shingles))
@@ -126,11 +170,12 @@ class Index:
                 sums = np.concatenate([np.zeros((1, 64)), np.cumsum(_signs(own) * weight[:, None], axis=0)])
                 at = run - run[0]
                 for start, found in zip(run.tolist(), self.near(length, _fingerprints(sums[at + span] - sums[at])), strict=True):
-                    for k in found.tolist():
-                        value = self.similar(k, shingles[start : start + span])
-                        if value >= self.similarity and value > best.get(k, (0.0,))[0]:
-                            best[k] = (value, start, min(length, len(h)))
-        return [(k, *best[k]) for k in sorted(best)]
+                    for k in sorted(possible[length, size][start].union(found.tolist())):
+                        weighted, plain = self.similar(k, shingles[start : start + span])
+                        value = max((weighted >= self.similarity, weighted), (False, plain))
+                        if value[1] >= self.similarity and value > best.get(k, (False, 0.0))[:2]:
+                            best[k] = (*value, start, min(length, len(h)))
+        return [(k, *best[k][1:]) for k in sorted(best)]
 
 
 def _blocks_of(benchmark: DataFrame) -> list[list[tuple]]:
@@ -176,7 +221,8 @@ def _scan(docs: DataFrame, items: list[tuple], words: int, similarity: float) ->
 def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, similarity, start, n_words): every item that a text of ``docs`` (doc_id, text) holds.
 
-    One row for each text row and item, with its best window (of equals, the first). An item shorter
+    One row for each text row and item, with its best window (of equals, the first); similarity is the weighted one,
+    or the plain one if no window's weighted similarity is high enough. An item shorter
     than ``words`` words is one shingle. Null, empty and wordless texts and items match nothing;
     items with equal texts all match; repeated rows are reported each. Other columns are ignored.
     """

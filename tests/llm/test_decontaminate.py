@@ -91,3 +91,55 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.matches(docs, none).collect() == [] and d.clean(docs, none).count() == 1
     assert d.matches(docs.limit(0), none.union(docs)).collect() == []
+
+
+def plain_matches(docs, items):
+    out = set()
+    for doc, text in docs:
+        w = words_of(text)
+        for i, item in items:
+            item = words_of(item)
+            a = Counter(grams(item, 5))
+            for start in range(max(0, len(w) - len(item)) + 1):
+                b = Counter(grams(w[start : start + len(item)], 5))
+                if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                    out.add((doc, i))
+    return out
+
+
+def repeated_items():
+    rng = random.Random(12)
+    once = [f"a{k}" for k in range(59)]
+    shared = [f"b{k}" for k in range(54)]
+    twice = [f"c{k}" for k in range(59)]
+    items = [(k, " ".join(once)) for k in range(20)] + [(20 + k, " ".join([*shared, f"own{k}"])) for k in range(10)] + [(30 + k, " ".join(twice)) for k in range(2)]
+    docs = []
+    for k in range(60):
+        part = list(rng.choice([once, [*shared, f"own{k % 10}"], twice]))
+        part[rng.choice([-1, len(part) // 2])] = f"edit{k}"
+        docs.append((k, " ".join([*(f"x{k}y{i}" for i in range(9)), *part, *(f"z{k}y{i}" for i in range(9))])))
+    return docs, items
+
+
+def test_edited_copies_of_repeated_items_are_found(spark):
+    docs, items = repeated_items()
+    rows, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = plain_matches(docs, items)
+    assert {i for i, _ in want} == set(range(60))
+    assert want <= {(r.doc_id, r.item_id) for r in d.matches(rows, benchmark).collect()}
+    assert d.clean(rows, benchmark).count() == 0
+
+
+def test_fingerprints_lose_no_window_that_is_similar():
+    rng = random.Random(3)
+    lost = 0
+    for trial in range(40):
+        shared = [f"s{trial}w{rng.randrange(10**6)}" for _ in range(54)]
+        index = d.Index([(k, " ".join(shared)) for k in range(10)], 5, 0.8)
+        column = d.pa.array([" ".join([*shared[:-1], f"new{trial}"])])
+        _, _, w = next(d.blocks(column, d.NON_ALNUM))
+        grams_ = d._rolled(w.hash, 5)
+        hits = {k: [p for p, g in enumerate(grams_.tolist()) if g in index.items[k][3]] for k in range(10)}
+        found = {k for k, *_ in index.text(w.hash, hits)}
+        lost += sum(d.np.max(index.similar(k, grams_)) >= 0.8 and k not in found for k in range(10))
+    assert lost == 0
