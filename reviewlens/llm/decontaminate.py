@@ -7,7 +7,7 @@ finds all of them. Fingerprints of similar windows can still differ in more bits
 bound of its similarity does not rule out is a candidate too: the weight of the shingles it has in common with the
 item is at most that of its places with a shingle of the item. Candidates are verified by exact similarity.
 
-A shingle weighs 1 / (items of the pass that hold it). As this makes a new word count
+A shingle weighs 1 / (items of the whole benchmark that hold it), in whatever pass. As this makes a new word count
 more than the words of a repeated item, a window matches if its weighted or its plain (all weights 1)
 Jaccard similarity is high enough.
 
@@ -18,6 +18,7 @@ windows that hold one; no window that could match is left out.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm.words import NON_ALNUM, U64, blocks, mix
+from reviewlens.session import cut_lineage
 
 WORDS, SIMILARITY = 5, 0.8
 RADIUS = 24
@@ -65,7 +67,8 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
 class Index:
     """Items by shingle, and by length and fingerprint block."""
 
-    def __init__(self, items: list[tuple], words: int, similarity: float) -> None:
+    def __init__(self, items: list[tuple], words: int, similarity: float, held: dict[int, int] | None = None) -> None:
+        """``held``: shingle -> items that hold it, for those that several hold; by default counted among ``items``."""
         self.words, self.similarity = words, similarity
         self.total = []  # weight and number of an item's shingles
         self.items = []  # (item_id, words in the item, shingle size, shingle -> weight)
@@ -75,7 +78,8 @@ class Index:
             for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
                 if b > a:
                     hashes.append((items[at + i][0], w.hash[a:b]))
-        held = Counter(s for _, h in hashes for s in set(_rolled(h, min(words, len(h))).tolist()))
+        if held is None:
+            held = Counter(s for _, h in hashes for s in set(_rolled(h, min(words, len(h))).tolist()))
         self.weight = {s: 1.0 / n for s, n in held.items()}  # shingles of many items say less
         self.by_shingle: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         by_length = defaultdict(list)
@@ -178,21 +182,36 @@ class Index:
         return [(k, *best[k][1:]) for k in sorted(best)]
 
 
-def _blocks_of(benchmark: DataFrame) -> list[list[tuple]]:
-    """The items in blocks of bounded size."""
+def _passes(benchmark: DataFrame, words: int) -> tuple[int, Iterator[tuple[list[tuple], dict[int, int]]]]:
+    """Number of passes, and of each its items, bounded in size and collected when it is reached, with the number of
+    items of the whole benchmark that hold a shingle, for shingles that several hold (all others weigh 1)."""
     rows = benchmark.select("item_id", "text").filter("text is not null")
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).collect()[0]
     passes = max(1, -(-n // ITEMS), -(-chars // CHARS))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
-    return [sorted(map(tuple, rows.filter(part == k).collect()), key=str) for k in range(passes)]
+
+    def run(batches):
+        for batch in batches:
+            for _, _, w in blocks(batch.column("text"), NON_ALNUM):
+                texts = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True) if b > a]
+                found = [np.unique(_rolled(h, min(words, len(h)))) for h in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U64), *found]).view(np.int64))], ["shingle"])
+
+    def items():
+        held = rows.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").toPandas()
+        held = dict(zip(held["shingle"].to_numpy().astype(np.int64).view(U64).tolist(), held["n"].tolist(), strict=True))
+        for k in range(passes):
+            yield sorted(map(tuple, rows.filter(part == k).collect()), key=str), held
+
+    return passes, items()
 
 
 _MATCH = pa.list_(pa.struct([("item_id", pa.string()), ("similarity", pa.float64()), ("start", pa.int64()), ("n_words", pa.int64())]))
 
 
-def _scan(docs: DataFrame, items: list[tuple], words: int, similarity: float) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple], held: dict[int, int], words: int, similarity: float) -> DataFrame:
     def run(batches):
-        index = Index(items, words, similarity)
+        index = Index(items, words, similarity, held)
         for batch in batches:
             rows = []
             for at, to, w in blocks(batch.column("text"), NON_ALNUM):
@@ -228,9 +247,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarit
     """
     kind = benchmark.schema["item_id"].dataType
     out = None
-    for items in _blocks_of(benchmark):
-        found = _scan(docs, items, words, similarity).select("doc_id", F.explode("matches").alias("m"))
+    passes, items = _passes(benchmark, words)
+    for part, held in items:
+        found = _scan(docs, part, held, words, similarity).select("doc_id", F.explode("matches").alias("m"))
         found = found.select("doc_id", F.col("m.item_id").cast(kind).alias("item_id"), "m.similarity", "m.start", "m.n_words")
+        found = cut_lineage(found) if passes > 1 else found  # lets go of the pass's items
         out = found if out is None else out.union(found)
     return out
 
@@ -238,6 +259,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarit
 def clean(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item."""
     rows = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
-    for items in _blocks_of(benchmark):
-        rows = _scan(rows, items, words, similarity).filter(F.size("matches") == 0).select("doc_id", "text")
+    passes, items = _passes(benchmark, words)
+    for part, held in items:
+        rows = _scan(rows, part, held, words, similarity).filter(F.size("matches") == 0).select("doc_id", "text")
+        rows = cut_lineage(rows) if passes > 1 else rows
     return rows.select("doc_id.*")

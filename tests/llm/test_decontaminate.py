@@ -143,3 +143,14 @@ def test_fingerprints_lose_no_window_that_is_similar():
         found = {k for k, *_ in index.text(w.hash, hits)}
         lost += sum(d.np.max(index.similar(k, grams_)) >= 0.8 and k not in found for k in range(10))
     assert lost == 0
+
+
+def test_number_of_passes_does_not_change_rows(spark, monkeypatch):
+    for docs, items in (corpus(9), repeated_items()):
+        benchmark, rows = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+        one = sorted(map(tuple, d.matches(rows, benchmark).collect()), key=str)
+        kept = sorted(r.doc_id for r in d.clean(rows, benchmark).collect())
+        with monkeypatch.context() as m:
+            m.setattr(d, "ITEMS", -(-len(items) // 4))
+            assert sorted(map(tuple, d.matches(rows, benchmark).collect()), key=str) == one
+            assert sorted(r.doc_id for r in d.clean(rows, benchmark).collect()) == kept
