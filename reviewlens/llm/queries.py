@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import decontaminate, hnsw, jaccard, language, licenses, lines, packing, pii, suffix_tree, urls
+from reviewlens.llm import decontaminate, hnsw, jaccard, language, licenses, lines, packing, pii, suffix_tree, token_files, urls
+from reviewlens.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -91,3 +92,11 @@ def op9_language_id(spark, sf_dir):
 def op10_personal_data(spark, sf_dir):
     """Personal data spans of every document."""
     return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_files(spark, sf_dir):
+    """All documents' token ids written as files and read back."""
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path)
+    return token_files.read_token_files(spark, path, ids=False)
