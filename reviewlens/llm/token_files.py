@@ -121,17 +121,26 @@ def _blocks(source, by_rank: np.ndarray) -> Iterator[tuple[list[int | None], np.
 # --- Spark -----------------------------------------------------------------------------------
 
 
+def _width(vocabulary: str, end_id: int) -> str:
+    """The bytes of an id on the way to the files: two where the vocabulary allows it."""
+    return "<u2" if max(len(Ids(vocabulary).bytes_of), end_id) < 1 << 16 else "<u4"
+
+
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n, crc, ids): every text's ids and the end id, as little-endian bytes. A null text is empty."""
+    """(doc_id, n, crc, ids): every text's ids and the end id, as little-endian bytes of two or four. A null text is empty.
+
+    crc is that of the ids as four bytes each.
+    """
+    width = _width(vocabulary, end_id)
 
     def run(batches):
         encoder = Ids(vocabulary)
         for batch in batches:
-            all_ids = [np.append(own, np.uint32(end_id)).astype("<u4").tobytes() for own in encoder.texts(batch.column("text"))]
+            all_ids = [np.append(own, np.uint32(end_id)).astype("<u4") for own in encoder.texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array([len(x) // 4 for x in all_ids], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in all_ids], pa.int64()), pa.array(all_ids, pa.binary()),
+                    batch.column("doc_id"), pa.array(map(len, all_ids), pa.int64()),
+                    pa.array([zlib.crc32(x) for x in all_ids], pa.int64()), pa.array([x.astype(width).tobytes() for x in all_ids], pa.binary()),
                 ],
                 ["doc_id", "n", "crc", "ids"],
             )
@@ -141,14 +150,14 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, crc long, ids binary")
 
 
-def id_counts(table: DataFrame) -> DataFrame:
-    """(id, n) over an ``ids`` column; counted in every task first."""
+def id_counts(table: DataFrame, width: str) -> DataFrame:
+    """(id, n) over an ``ids`` column of numbers of that ``width``; counted in every task first."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
             for cell in batch.column("ids"):
-                own = np.bincount(np.frombuffer(cell.as_buffer(), "<u4"), minlength=len(total))
+                own = np.bincount(np.frombuffer(cell.as_buffer(), width), minlength=len(total))
                 own[: len(total)] += total
                 total = own
         seen = np.flatnonzero(total)
@@ -167,12 +176,12 @@ def write_token_files(
     empty text is its end id alone. An empty table gives no files. Texts are encoded once, whole; a text is at most one block.
     """
     spark = docs.sparkSession
-    kept = scratch_path(spark, "ids")
+    kept, width = scratch_path(spark, "ids"), _width(vocabulary, end_id)
     # A running number tells equal rows apart; written, it stays the same however often tasks are repeated.
     encoded(docs, vocabulary, end_id).withColumn("lane", F.monotonically_increasing_id()).write.parquet(kept)
     table = spark.read.parquet(kept)
     # One row per id of the vocabulary at most, whatever the corpus.
-    counts = {r["id"]: r["n"] for r in id_counts(table).collect()}
+    counts = {r["id"]: r["n"] for r in id_counts(table, width).collect()}
     size = max([len(Ids(vocabulary).bytes_of) + 1, *(i + 1 for i in counts)])
     rank, by_rank = ranks(counts, size)
     listed = [(r, int(i), counts.get(int(i), 0)) for r, i in enumerate(by_rank)]
@@ -188,7 +197,7 @@ def write_token_files(
         out, keys, ids, waiting = None, [], [], 0
         for batch in batches:
             for key, cell in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                own = np.frombuffer(cell.as_buffer(), "<u4")
+                own = np.frombuffer(cell.as_buffer(), width)
                 if out is None:
                     system.create_dir(top, recursive=True)
                     out = system.open_output_stream(f"{top}/{name}")
