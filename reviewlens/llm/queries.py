@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import decontaminate, hnsw, jaccard, language, licenses, lines, packing, pii, suffix_tree, token_files, urls
+from reviewlens.llm import (
+    alignment,
+    decontaminate,
+    hnsw,
+    jaccard,
+    language,
+    licenses,
+    lines,
+    packing,
+    pii,
+    suffix_tree,
+    token_files,
+    urls,
+)
 from reviewlens.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +107,17 @@ def op10_personal_data(spark, sf_dir):
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_token_alignment(spark, sf_dir):
+    """Groups and links of two vocabularies' tokens of every document, with corpus-wide counts of the links."""
+    path = scratch_path(spark, "aligned")
+    found = alignment.aligned(_table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    found.select(*(c for c in found.columns if c != "groups"), digest).write.parquet(path)
+    rows = spark.read.parquet(path)
+    return alignment.with_counts(rows, alignment.link_counts(rows)).drop("row")
+
+
 @query
 def op13_token_files(spark, sf_dir):
     """All documents' token ids written as files and read back."""
