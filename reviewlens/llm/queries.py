@@ -17,6 +17,7 @@ from reviewlens.llm import (
     lines,
     packing,
     pii,
+    spelling,
     suffix_tree,
     token_files,
     urls,
@@ -118,6 +119,12 @@ def op11_token_alignment(spark, sf_dir):
     return alignment.with_counts(rows, alignment.link_counts(rows)).drop("row")
 
 
+@query
+def op12_spelling_variants(spark, sf_dir):
+    """Frequent words of all documents with the more frequent spelling each goes back to."""
+    return spelling.variants(spelling.words(_table(spark, sf_dir, "documents"), noise=199))
+
+
 @query
 def op13_token_files(spark, sf_dir):
     """All documents' token ids written as files and read back."""
