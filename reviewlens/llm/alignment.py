@@ -36,8 +36,9 @@ from reviewlens.session import scratch_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
-BLOCK = 1 << 20  # bytes of short texts aligned at once
+BLOCK = 1 << 18  # bytes of short texts aligned at once
 LONG = 1 << 16  # a text of more bytes is cut into stretches of about so many
+PART = 1 << 14  # bytes that one call of the piece library encodes
 FAN = 8  # fragments that one group composes
 HOT = 100_000  # fewer id pairs than this are sent to every task, whatever the corpus
 MARK = "▁"  # stands for a space in pieces, so a text that holds it is not given back
@@ -104,12 +105,17 @@ class PieceIds(Ids):
         return b"" if self.model.is_control(i) or self.model.is_unknown(i) else piece.replace(MARK, " ").encode()
 
     def _encode(self, text: bytes) -> np.ndarray:
-        return np.array(self.model.encode(text.decode("utf-8", "replace")), np.uint32)
+        """In parts, since the library's memory for one call is hundreds of times its text."""
+        raw = np.frombuffer(text, np.uint8)
+        cuts = np.append(self.cuts(raw), len(raw))
+        ends = np.unique(cuts[np.searchsorted(cuts, np.arange(PART, len(raw) + PART, PART).clip(max=len(raw)))]).tolist()
+        parts = [text[i:j].decode("utf-8", "replace") for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        return np.array([i for part in parts for i in self.model.encode(part)], np.uint32)
 
     @property
     def whole(self) -> SimpleNamespace:
         """Texts that spell a special token of the other vocabulary are encoded like any other."""
-        return SimpleNamespace(encode=lambda text, add_special_tokens: SimpleNamespace(ids=self.model.encode(text)))
+        return SimpleNamespace(encode=lambda text, add_special_tokens: SimpleNamespace(ids=self._encode(text.encode())))
 
     @staticmethod
     def cuts(raw: np.ndarray) -> np.ndarray:
