@@ -178,7 +178,7 @@ def write_token_files(
     spark = docs.sparkSession
     kept, width = scratch_path(spark, "ids"), _width(vocabulary, end_id)
     # A running number tells equal rows apart; written, it stays the same however often tasks are repeated.
-    encoded(docs, vocabulary, end_id).withColumn("lane", F.monotonically_increasing_id()).write.parquet(kept)
+    encoded(docs, vocabulary, end_id).withColumn("lane", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(kept)
     table = spark.read.parquet(kept)
     # One row per id of the vocabulary at most, whatever the corpus.
     counts = {r["id"]: r["n"] for r in id_counts(table, width).collect()}
