@@ -38,6 +38,7 @@ BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 BLOCK = 1 << 18  # bytes of short texts aligned at once
 LONG = 1 << 16  # a text of more bytes is cut into stretches of about so many
+ROWS = 512  # short texts copied at once
 PART = 1 << 14  # bytes that one call of the piece library encodes
 FAN = 8  # fragments that one group composes
 HOT = 100_000  # fewer id pairs than this are sent to every task, whatever the corpus
@@ -108,7 +109,7 @@ class PieceIds(Ids):
         """In parts, since the library's memory for one call is hundreds of times its text."""
         raw = np.frombuffer(text, np.uint8)
         cuts = np.append(self.cuts(raw), len(raw))
-        ends = np.unique(cuts[np.searchsorted(cuts, np.arange(PART, len(raw) + PART, PART).clip(max=len(raw)))]).tolist()
+        ends = np.unique(cuts[np.searchsorted(cuts, np.append(np.arange(PART, len(raw), PART), len(raw)))]).tolist()
         parts = [text[i:j].decode("utf-8", "replace") for i, j in zip([0, *ends[:-1]], ends, strict=True)]
         return np.array([i for part in parts for i in self.model.encode(part)], np.uint32)
 
@@ -128,6 +129,20 @@ def _vocabularies(a: str, b: str) -> tuple[ByteIds, PieceIds]:
     return ByteIds(a), PieceIds(b)
 
 
+class Pair(NamedTuple):
+    """Names of both vocabularies, a bound of all ids and one of B's. Only tasks that encode load the files."""
+
+    a: str
+    b: str
+    size: int
+    width: int
+
+    @classmethod
+    def of(cls, a: str, b: str) -> Pair:
+        ids = _vocabularies(a, b)
+        return cls(a, b, max(len(x.bytes_of) for x in ids), len(ids[1].bytes_of))
+
+
 # --- alignment -------------------------------------------------------------------------------
 
 
@@ -273,12 +288,11 @@ def _with_space(texts: pa.Array) -> pa.Array:
     return pc.if_else(none, empty, pc.binary_join_element_wise(blank, texts, empty))
 
 
-def _short(batches: Iterator[pa.RecordBatch], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
-    a_ids, b_ids = _vocabularies(*names)
-    width = len(b_ids.bytes_of)
-    size = max(len(a_ids.bytes_of), width)
+def _short(batches: Iterator[pa.RecordBatch], names: Pair) -> Iterator[pa.RecordBatch]:
+    a_ids, b_ids = _vocabularies(names.a, names.b)
+    size, width = names.size, names.width
     cell_names = _cells(size)
-    for batch in batches:
+    for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         raw, places = utf8(_with_space(batch.column("text")))
         at, n = 0, len(places) - 1
         while at < n:
@@ -329,14 +343,14 @@ _FRAGMENT = ", ".join([
 ])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], names: tuple[str, str], long: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], long: int) -> Iterator[pa.RecordBatch]:
     """Stretches of about ``long`` bytes; a vocabulary's part begins at its first cut from there on."""
     for batch in batches:
         for row, doc_id, text in zip(batch.column("row"), batch.column("doc_id"), _with_space(batch.column("text")), strict=True):
             raw = np.frombuffer(text.as_buffer(), np.uint8)
             wanted = np.arange(long, len(raw), long)
             ends = []
-            for vocabulary in _vocabularies(*names):
+            for vocabulary in (ByteIds, PieceIds):
                 cuts = np.append(vocabulary.cuts(raw), len(raw))
                 ends.append(np.append(cuts[np.searchsorted(cuts, wanted)], len(raw)))
             starts = [np.append(0, x[:-1]) for x in ends]
@@ -365,10 +379,8 @@ def _fragment_row(row, doc_id, chunk: int, same: bool, n_a: int, n_b: int, x: Fr
     )
 
 
-def _fragments(batches: Iterator[pa.RecordBatch], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
-    a_ids, b_ids = _vocabularies(*names)
-    width = len(b_ids.bytes_of)
-    size = max(len(a_ids.bytes_of), width)
+def _fragments(batches: Iterator[pa.RecordBatch], names: Pair) -> Iterator[pa.RecordBatch]:
+    a_ids, b_ids = _vocabularies(names.a, names.b)
     for batch in batches:
         for k in range(batch.num_rows):
             streams, same = [], True
@@ -381,7 +393,7 @@ def _fragments(batches: Iterator[pa.RecordBatch], names: tuple[str, str]) -> Ite
             t = Tokens(*streams)
             yield _fragment_row(
                 batch.column("row")[k].as_py(), batch.column("doc_id").slice(k, 1), batch.column("chunk")[k].as_py(),
-                same, len(t.a), len(t.b), fragment(t, size, width),
+                same, len(t.a), len(t.b), fragment(t, names.size, names.width),
             )
 
 
@@ -389,26 +401,23 @@ def _numbers(table: pa.Table, name: str, k: int) -> np.ndarray:
     return np.frombuffer(table[name][k].as_buffer(), "<i8")
 
 
-def _composed(table: pa.Table, names: tuple[str, str]) -> tuple[Fragment, pa.Table]:
+def _composed(table: pa.Table, names: Pair) -> tuple[Fragment, pa.Table]:
     """The fragment of all rows, in order of their chunks."""
-    a_ids, b_ids = _vocabularies(*names)
-    width = len(b_ids.bytes_of)
-    size = max(len(a_ids.bytes_of), width)
     table = table.take(pc.sort_indices(table, [("chunk", "ascending")]))
     done = None
     for k in range(table.num_rows):
         closed = Groups(table["text"][k].as_py(), table["n_groups"][k].as_py(), _numbers(table, "pairs", k), _numbers(table, "times", k))
         opened = [_numbers(table, x, k) for x in _OPEN]
         own = Fragment(Tokens(*opened[:4]), closed if table["cut"][k].as_py() else None, Tokens(*opened[4:]))
-        done = own if done is None else compose(done, own, size, width)
+        done = own if done is None else compose(done, own, names.size, names.width)
     return done, table
 
 
-def _long(docs: DataFrame, names: tuple[str, str], long: int) -> DataFrame:
+def _long(docs: DataFrame, names: Pair, long: int) -> DataFrame:
     """The result of texts above ``long`` bytes: stretches spread over tasks, fragments composed by a tree."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     head = f"row long, doc_id {kind}"
-    stretches = docs.mapInArrow(lambda batches: _cut(batches, names, long), f"{head}, {_STRETCH}")
+    stretches = docs.mapInArrow(lambda batches: _cut(batches, long), f"{head}, {_STRETCH}")
     # Stretches of one text go to different tasks.
     tasks = spark.sparkContext.defaultParallelism * 2
     path = scratch_path(spark, "fragments")
@@ -429,14 +438,11 @@ def _long(docs: DataFrame, names: tuple[str, str], long: int) -> DataFrame:
         last //= FAN
 
     def end(batches):
-        a_ids, b_ids = _vocabularies(*names)
-        width = len(b_ids.bytes_of)
-        size = max(len(a_ids.bytes_of), width)
         for batch in batches:
             for k in range(batch.num_rows):
                 x, row = _composed(pa.Table.from_batches([batch.slice(k, 1)]), names)
                 same = row["same"][0].as_py()
-                done = whole(x, size, width) if same else NO_GROUPS
+                done = whole(x, names.size, names.width) if same else NO_GROUPS
                 counts = [row[c][0].as_py() if same else 0 for c in ("n_a", "n_b")]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -465,7 +471,7 @@ def aligned(docs: DataFrame, a: str = BYTE_VOCABULARY, b: str = PIECE_VOCABULARY
     any other. A text above ``long`` bytes is cut where neither vocabulary has a token across; one without such places is
     encoded in one piece. An empty table gives an empty one.
     """
-    names = (a, b)
+    names = Pair.of(a, b)
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -475,7 +481,7 @@ def aligned(docs: DataFrame, a: str = BYTE_VOCABULARY, b: str = PIECE_VOCABULARY
 
 def link_counts(table: DataFrame, a: str = BYTE_VOCABULARY, b: str = PIECE_VOCABULARY) -> DataFrame:
     """(pair, n, best) from ``aligned`` rows: how many rows hold the pair linked, and whether no pair of its A id has more."""
-    width = len(PieceIds(b).bytes_of)
+    width = Pair.of(a, b).width
 
     def run(batches):
         waiting, have = [], 0
