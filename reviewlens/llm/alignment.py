@@ -433,29 +433,23 @@ def _long(docs: DataFrame, names: Pair, long: int) -> DataFrame:
         doc_id = table["doc_id"].slice(0, 1).combine_chunks()
         return pa.Table.from_batches([_fragment_row(table["row"][0].as_py(), doc_id, table["chunk"][0].as_py() // FAN, same, n_a, n_b, x)])
 
-    while last > 0:
+    # The last composition gives the result itself, so a task has one Python worker.
+    while last >= FAN:
         fragments = fragments.groupBy("row", F.expr(f"chunk div {FAN}")).applyInArrow(one, f"{head}, {_FRAGMENT}")
         last //= FAN
 
-    def end(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x, row = _composed(pa.Table.from_batches([batch.slice(k, 1)]), names)
-                same = row["same"][0].as_py()
-                done = whole(x, names.size, names.width) if same else NO_GROUPS
-                counts = [row[c][0].as_py() if same else 0 for c in ("n_a", "n_b")]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("row").slice(k, 1), batch.column("doc_id").slice(k, 1),
-                        *_rows(
-                            *([c] for c in counts), [done.n], [int(done.times.sum())], [done.text[:-1].decode()],
-                            [done.pairs.astype("<i8").tobytes()], [done.times.astype("<u4").tobytes()],
-                        ),
-                    ],
-                    ["row", "doc_id", *_names()],
-                )
-
-    return fragments.mapInArrow(end, f"{head}, {_RESULT}")
+    def end(table: pa.Table) -> pa.Table:
+        x, table = _composed(table, names)
+        same = pc.all(table["same"]).as_py()
+        done = whole(x, names.size, names.width) if same else NO_GROUPS
+        counts = [pc.sum(table[c]).as_py() if same else 0 for c in ("n_a", "n_b")]
+        columns = _rows(
+            *([c] for c in counts), [done.n], [int(done.times.sum())], [done.text[:-1].decode()],
+            [done.pairs.astype("<i8").tobytes()], [done.times.astype("<u4").tobytes()],
+        )
+        return pa.Table.from_arrays([table["row"].slice(0, 1), table["doc_id"].slice(0, 1), *columns], ["row", "doc_id", *_names()])
+
+    return fragments.groupBy("row").applyInArrow(end, f"{head}, {_RESULT}")
 
 
 # --- tables ----------------------------------------------------------------------------------
