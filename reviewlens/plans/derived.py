@@ -62,11 +62,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, cmt); needs no join."""
-    return spread_out(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", F.expr(CMT).alias("cmt")
-    )
+def texts(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
+    """(doc_id, cmt); needs no join. ``spread`` deals rows over the cores, for work that cleans them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (spread_out(docs) if spread else docs).select("doc_id", F.expr(CMT).alias("cmt"))
 
 
 def reviews(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:

@@ -16,7 +16,9 @@ from reviewlens.operators.features import build_features, feature_pipeline
 from reviewlens.operators.phrases import learn_phrases
 from reviewlens.operators.net import AspectNet, AspectNetModel
 from reviewlens.operators.rows import clean_reviews, clean_sentences, sentence_result, split_reviews
+from reviewlens.operators.segment import learn_lexicon, segment
 from reviewlens.schema import ANNOTATION_ASPECTS, ASPECTS
+from reviewlens.session import scratch_path
 from reviewlens.sources.models import load_features, load_net, save_features, save_net
 from reviewlens.sources.reviews import sentences_df
 
@@ -34,14 +36,20 @@ class Prep:
     acronyms: Sequence[tuple[str, str]] = ()
     phrases: Sequence[tuple[str, str]] | None = None
     missing_text: str = ""
+    # A stored lexicon (see ``operators.segment``) by which cleaned text is cut into words.
+    lexicon_path: str | None = None
+
+    def words(self, df: DataFrame, text: str = "cmt") -> DataFrame:
+        """Cleaned ``text`` as words of the lexicon."""
+        return segment(df, df.sparkSession.read.parquet(self.lexicon_path), text) if self.lexicon_path else df
 
     def reviews(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        return clean_reviews(
+        return self.words(clean_reviews(
             df, self.mode, self.label_mode, self.acronyms, self.phrases, self.missing_text, keep
-        )
+        ))
 
     def sentences(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        return clean_sentences(df, self.mode, self.acronyms, self.phrases, keep)
+        return self.words(clean_sentences(df, self.mode, self.acronyms, self.phrases, keep))
 
 
 @dataclass
@@ -68,6 +76,8 @@ def train(
     w2v_min_count: int = 5,
     min_df: float = 5,
     phrase_threshold: float | None = None,
+    segment_rounds: int | None = None,
+    lexicon_path: str | None = None,
     **net_params,
 ) -> Trained:
     """Clean, split, fit features on the training side, fit the network, score the test side.
@@ -76,6 +86,8 @@ def train(
     split is random. ``w2v_min_count`` and ``min_df`` bound the vocabularies, see ``feature_pipeline``.
     With ``phrase_threshold`` word pairs are learned from the cleaned training side and joined in all rows;
     the settings to score with, learned pairs included, are ``Trained.prep``.
+    With ``segment_rounds`` a lexicon is learned from the cleaned training side, stored at ``lexicon_path``, and all
+    text is cut into its words.
     """
     prep = prep or Prep()
     keep = [key] if key else []
@@ -85,6 +97,11 @@ def train(
         if len(pairs) > PHRASES:
             raise ValueError(f"more than {PHRASES} phrases; raise phrase_threshold")
         prep = replace(prep, phrases=sorted({*(prep.phrases or ()), *((r["a"], r["b"]) for r in pairs)}))
+    if segment_rounds is not None:
+        plain, _ = split_reviews(replace(prep, lexicon_path=None).reviews(reviews, keep), train_ratio, seed, key, method="hash" if key else "random")
+        lexicon_path = lexicon_path or scratch_path(reviews.sparkSession, "lexicon")
+        learn_lexicon(plain, rounds=segment_rounds).write.parquet(lexicon_path)
+        prep = replace(prep, lexicon_path=lexicon_path)
     cleaned = prep.reviews(reviews, keep)
     train_rows, test_rows = split_reviews(
         cleaned, train_ratio, seed, key, method="hash" if key else "random"
@@ -158,6 +175,7 @@ def compare_models(reviews: DataFrame, slots: Mapping[str, Slot], overall: bool
         ).withColumn(
             f"_label{i}", lb.label_array([lb.parse_label(a, prep.label_mode) for a in ASPECTS])
         )
+        rows = prep.words(rows, f"_text{i}")
     kept = [c for c in rows.columns if c.startswith("_")]
     rows = rows.select(*kept)
     done: dict[tuple[int, str], str] = {}

@@ -6,7 +6,7 @@ from reviewlens.functions import patterns as pt
 from reviewlens.functions import text as tx
 from reviewlens.plans import derived as dv
 from reviewlens.plans import formulas
-from reviewlens.plans.queries import PHRASE_THRESHOLD
+from reviewlens.plans.queries import PHRASE_THRESHOLD, SEGMENT
 from reviewlens.schema import ANNOTATION_ASPECTS, ASPECTS, SENTIMENTS
 
 _K = range(len(ASPECTS))
@@ -177,6 +177,40 @@ _PHRASES = (
 )
 
 
+def _grams(clean) -> str:
+    return (
+        f"WITH RECURSIVE {_TEXTS}, cleaned AS (SELECT doc_id, {clean('cmt')} AS cmt FROM texts), "
+        f"docs AS (SELECT doc_id, list_filter(string_split_regex(cmt, {_lit(_BLANKS + '+')}), lambda w: w <> '') AS words FROM cleaned), "
+        "spots AS (SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM docs), "
+        "ends AS (SELECT *, regexp_matches(w, '[.!?]$') AS stop FROM spots), "
+        "placed AS (SELECT doc_id, i, w, stop, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ends), "
+        "next AS (SELECT *, " + ", ".join(f"lead(w, {k}) OVER (PARTITION BY doc_id, s ORDER BY i) AS w{k}" for k in (1, 2, 3))
+        + ", row_number() OVER (PARTITION BY doc_id, s ORDER BY i) AS j, count(*) OVER (PARTITION BY doc_id, s) AS m FROM placed), "
+        "grams AS (SELECT doc_id, s, j, m, w AS g1, w || '_' || w1 AS g2, w || '_' || w1 || '_' || w2 AS g3, w || '_' || w1 || '_' || w2 || '_' || w3 AS g4 FROM next), "
+        "counts AS (SELECT word, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT g{k} AS word FROM grams WHERE g{k} IS NOT NULL" for k in (1, 2, 3, 4))
+        + f") GROUP BY word HAVING count(*) >= {SEGMENT['least']}), "
+        "total AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM counts WHERE NOT contains(word, '_')), "
+        "lexicon AS (SELECT word, n, CAST(round((ln(t) - ln(CAST(n AS DOUBLE)) + "
+        f"(length(word) - length(replace(word, '_', ''))) * ln(CAST({SEGMENT['threshold']} AS DOUBLE))) * 1000) AS BIGINT) AS cost FROM counts, total)"
+    )
+
+
+def _segments(clean) -> str:
+    """Best costs from each place to the end of its sentence, from the right; then the way from the left."""
+    return (
+        f"{_grams(clean)}, edges AS (SELECT doc_id, s, j, m, g1, g2, g3, g4, coalesce(a.cost, 25000) AS c1, b.cost AS c2, c.cost AS c3, d.cost AS c4 FROM grams "
+        "LEFT JOIN lexicon a ON a.word = g1 LEFT JOIN lexicon b ON b.word = g2 LEFT JOIN lexicon c ON c.word = g3 LEFT JOIN lexicon d ON d.word = g4), "
+        "walk(doc_id, s, j, b1, b2, b3, b4, k, g) AS (SELECT DISTINCT doc_id, s, m + 1, 0, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, 0, '' FROM edges UNION ALL "
+        "SELECT doc_id, s, j, least(t1, t2, t3, t4), b1, b2, b3, "
+        "CASE least(t1, t2, t3, t4) WHEN t4 THEN 4 WHEN t3 THEN 3 WHEN t2 THEN 2 ELSE 1 END, "
+        "CASE least(t1, t2, t3, t4) WHEN t4 THEN g4 WHEN t3 THEN g3 WHEN t2 THEN g2 ELSE g1 END FROM "
+        "(SELECT e.*, b1, b2, b3, c1 + b1 AS t1, c2 + b2 AS t2, c3 + b3 AS t3, c4 + b4 AS t4 FROM walk w JOIN edges e ON e.doc_id = w.doc_id AND e.s = w.s AND e.j = w.j - 1)), "
+        "way(doc_id, s, j, k, g) AS (SELECT doc_id, s, j, k, g FROM walk WHERE j = 1 UNION ALL "
+        "SELECT w.doc_id, w.s, w.j, w.k, w.g FROM way y JOIN walk w ON w.doc_id = y.doc_id AND w.s = y.s AND w.j = y.j + y.k WHERE w.k > 0) "
+        "SELECT doc_id, coalesce(cmt, '') AS cmt FROM documents LEFT JOIN (SELECT doc_id, string_agg(g, ' ' ORDER BY s, j) AS cmt FROM way GROUP BY doc_id) USING (doc_id)"
+    )
+
+
 def _text(expression: str) -> str:
     return f"WITH {_TEXTS} SELECT doc_id, {expression} AS cmt FROM texts"
 
@@ -360,6 +394,9 @@ def oracle_sql() -> dict[str, str]:
         out[f"{name}_difference"] = "SELECT CAST(0 AS BIGINT) AS n_different"
     out["count_vectors"] = f"{_WORDS} SELECT doc_id, term, tf FROM per_doc JOIN stats USING (term) WHERE df >= 5"
     out["hashing_tf"] = f"{_WORDS} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n_words FROM per_doc GROUP BY doc_id"
+    out["gram_lexicon"] = f"{_grams(_basic)} SELECT word, n, cost FROM lexicon"
+    out["segment_words"] = out["segment_words_joined"] = _segments(_basic)
+    out["clean_advanced_words"] = _segments(_advanced)
     out["learn_phrases"] = f"{_PHRASES} SELECT a, b, n_ab, n_a, n_b, round(score, 6) AS score FROM found"
     out["apply_phrases"] = (
         f"{_PHRASES}, flags AS (SELECT doc_id, string_agg(CASE WHEN f.a IS NULL THEN '0' ELSE '1' END, '' ORDER BY i) AS hits "

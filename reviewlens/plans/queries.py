@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reviewlens.functions import labels as lb
 from reviewlens.functions import patterns as pt
 from reviewlens.functions import text as tx
-from reviewlens.operators import annotate, metrics, phrases, rows, terms
+from reviewlens.operators import annotate, metrics, phrases, rows, segment, terms
 from reviewlens.operators.features import feature_pipeline
 from reviewlens.operators.net import AspectNet, AspectNetModel
 from reviewlens.plans import derived as dv
@@ -28,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 PHRASE_THRESHOLD = 200.0
+SEGMENT = {"least": 20, "threshold": 2.0}
 NET = {"hidden": [32], "maxEpoch": 2, "numPartitions": 8}
 MLP = {**NET, "hidden": [32, 16]}
 WIDTH = 256
@@ -162,13 +163,13 @@ def document_at(spark, sf_dir):
 
 @query
 def hash_split(spark, sf_dir):
-    train, test = rows.split_reviews(dv.texts(spark, sf_dir).select("doc_id", "cmt"))
+    train, test = rows.split_reviews(dv.texts(spark, sf_dir, spread=False))
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
 
 
 @query
 def random_split(spark, sf_dir):
-    train, test = rows.split_reviews(dv.texts(spark, sf_dir).select("doc_id", "cmt"), method="random")
+    train, test = rows.split_reviews(dv.texts(spark, sf_dir, spread=False), method="random")
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
 
 
@@ -444,6 +445,41 @@ def apply_phrases(spark, sf_dir):
     return phrases.apply_phrases(table, found)
 
 
+@query
+def gram_lexicon(spark, sf_dir):
+    """Runs of up to four syllables, with costs."""
+    return segment.gram_lexicon(_cleaned(spark, sf_dir), **SEGMENT)
+
+
+@query
+def segment_words(spark, sf_dir):
+    """Reviews cut into the cheapest words of that lexicon."""
+    table = _cleaned(spark, sf_dir)
+    return segment.segment(table, segment.gram_lexicon(table, **SEGMENT))
+
+
+@query
+def segment_words_joined(spark, sf_dir):
+    """The same with a lexicon too large to be sent to every task."""
+    table = _cleaned(spark, sf_dir)
+    return segment.segment(table, segment.gram_lexicon(table, **SEGMENT), limit=0)
+
+
+@query
+def clean_advanced_words(spark, sf_dir):
+    """The advanced cleaner with its last step, words of several syllables, from a stored lexicon."""
+    plain = jobs.Prep(acronyms=dv.RULES)
+    path = scratch_path(spark, "lexicon")
+    segment.gram_lexicon(plain.sentences(dv.texts(spark, sf_dir)), **SEGMENT).write.parquet(path)
+    return jobs.Prep(acronyms=dv.RULES, lexicon_path=path).sentences(dv.texts(spark, sf_dir), ["doc_id"])
+
+
+@query
+def learned_words(spark, sf_dir):
+    """Words of several syllables after three rounds of cutting and counting."""
+    return segment.learn_lexicon(_cleaned(spark, sf_dir)).filter(F.contains("word", F.lit(segment.JOINT)))
+
+
 # --- models ----------------------------------------------------------------------------------
 
 
