@@ -16,7 +16,7 @@ from reviewlens.operators.features import build_features, feature_pipeline
 from reviewlens.operators.phrases import learn_phrases
 from reviewlens.operators.net import AspectNet, AspectNetModel
 from reviewlens.operators.rows import clean_reviews, clean_sentences, sentence_result, split_reviews
-from reviewlens.operators.segment import learn_lexicon, segment
+from reviewlens.operators.segment import THRESHOLD, learn_lexicon, segment
 from reviewlens.schema import ANNOTATION_ASPECTS, ASPECTS
 from reviewlens.session import scratch_path
 from reviewlens.sources.models import load_features, load_net, save_features, save_net
@@ -77,6 +77,7 @@ def train(
     min_df: float = 5,
     phrase_threshold: float | None = None,
     segment_rounds: int | None = None,
+    segment_threshold: float = THRESHOLD,
     lexicon_path: str | None = None,
     **net_params,
 ) -> Trained:
@@ -100,7 +101,7 @@ def train(
     if segment_rounds is not None:
         plain, _ = split_reviews(replace(prep, lexicon_path=None).reviews(reviews, keep), train_ratio, seed, key, method="hash" if key else "random")
         lexicon_path = lexicon_path or scratch_path(reviews.sparkSession, "lexicon")
-        learn_lexicon(plain, rounds=segment_rounds).write.parquet(lexicon_path)
+        learn_lexicon(plain, rounds=segment_rounds, threshold=segment_threshold).write.parquet(lexicon_path)
         prep = replace(prep, lexicon_path=lexicon_path)
     cleaned = prep.reviews(reviews, keep)
     train_rows, test_rows = split_reviews(

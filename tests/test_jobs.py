@@ -111,7 +111,7 @@ def test_training_labels_from_annotations_feed_training(spark, reviews):
 
 
 def test_words_learned_in_training_are_used_in_scoring(spark, reviews, trained):
-    done = jobs.train(reviews, "rnn", "tfidf", 64, segment_rounds=2, hidden=[4], maxEpoch=1, numPartitions=2)
+    done = jobs.train(reviews, "rnn", "tfidf", 64, segment_rounds=2, segment_threshold=2.0, hidden=[4], maxEpoch=1, numPartitions=2)
     assert done.prep.lexicon_path
     lexicon = {r["word"] for r in spark.read.parquet(done.prep.lexicon_path).collect()}
     assert "ngon_tuyệt" in lexicon
