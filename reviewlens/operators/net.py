@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlens.operators import descent
 from reviewlens.operators import kernels as kn
 from reviewlens.session import cut_lineage
 
@@ -77,6 +78,16 @@ def _assemble(rows, sizes: dict[str, tuple[int, ...]]) -> kn.Weights:
     }
 
 
+def _check_size(sizes: dict[str, tuple[int, ...]]) -> None:
+    if 4 * sum(int(np.prod(s)) for s in sizes.values()) > _MODEL_LIMIT:
+        raise ValueError("the network is too large to broadcast; use fewer features or units")
+
+
+def _check_loss(history: list[float]) -> None:
+    if not np.isfinite(history[-1]):
+        raise ArithmeticError(f"loss is {history[-1]} after epoch {len(history)}; lower learningRate or set clipNorm")
+
+
 class _NetParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
     arch = Param(Params._dummy(), "arch", "mlp, rnn, gru or lstm", TypeConverters.toString)
     hidden = Param(Params._dummy(), "hidden", "hidden sizes", TypeConverters.toListInt)
@@ -90,6 +101,8 @@ class AspectNet(_NetParams, Estimator, DefaultParamsReadable, DefaultParamsWrita
 
     ``keyCol`` names a unique column. With it, the rows of every mini-batch are fixed by (seed,
     numPartitions) and not by the layout of the input. Without it rows are dealt out evenly.
+
+    With ``syncRows`` there are no replicas: steps of so many rows use the sum of all tasks' gradients.
     """
 
     batchSize = Param(Params._dummy(), "batchSize", "rows per step", TypeConverters.toInt)
@@ -99,18 +112,21 @@ class AspectNet(_NetParams, Estimator, DefaultParamsReadable, DefaultParamsWrita
     clipNorm = Param(Params._dummy(), "clipNorm", "gradient norm bound, 0 for none", TypeConverters.toFloat)
     numPartitions = Param(Params._dummy(), "numPartitions", "replicas, 0 for one per core", TypeConverters.toInt)
     keyCol = Param(Params._dummy(), "keyCol", "unique key column or ''", TypeConverters.toString)
+    syncRows = Param(
+        Params._dummy(), "syncRows", "rows of a step taken together by all tasks, 0 for averaged replicas", TypeConverters.toInt
+    )
 
     @keyword_only
     def __init__(
         self, *, arch="mlp", hidden=None, batchSize=64, learningRate=0.2, maxEpoch=10, dropout=None,
-        clipNorm=1.0, numPartitions=0, keyCol="", featuresCol="features", labelCol="label",
+        clipNorm=1.0, numPartitions=0, keyCol="", syncRows=0, featuresCol="features", labelCol="label",
         predictionCol="prediction", seed=50,
     ):
         super().__init__()
         given = {k: v for k, v in self._input_kwargs.items() if v is not None}
         self._setDefault(
             arch="mlp", batchSize=64, learningRate=0.2, maxEpoch=10, clipNorm=1.0, numPartitions=0,
-            keyCol="", featuresCol="features", labelCol="label", predictionCol="prediction", seed=50,
+            keyCol="", syncRows=0, featuresCol="features", labelCol="label", predictionCol="prediction", seed=50,
         )
         self._set(**given)
         name = self.getArch()
@@ -153,13 +169,34 @@ class AspectNet(_NetParams, Estimator, DefaultParamsReadable, DefaultParamsWrita
         width = max(max(p["sparse_width"] or 0, p["dense_width"] or 0) for p in parts)
         return placed, width, max(p["out"] for p in parts)
 
+    def _fit_together(self, df: DataFrame) -> AspectNetModel:
+        """Synchronous steps, see ``operators.descent``; the weights do not depend on cores or partitions."""
+        get = self.getOrDefault
+        arch, hidden, seed = get(self.arch), tuple(get(self.hidden)), get(self.seed)
+        rows = descent.numbered(df, get(self.featuresCol), get(self.labelCol), seed)
+        found = rows.agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.coalesce("f.size", F.size("f.values"))).alias("n_in"), F.max(F.size("y")).alias("n_out")
+        ).collect()[0]
+        if not found["n"]:
+            raise ValueError("no training rows")
+        _check_size(kn.shapes(arch, found["n_in"], hidden, found["n_out"]))
+        weights, history = kn.initial(arch, found["n_in"], hidden, found["n_out"], seed), []
+        for loss, weights in descent.fit(  # noqa: B020
+            rows, found["n"], arch, weights, get(self.syncRows), get(self.maxEpoch), get(self.learningRate),
+            get(self.clipNorm), get(self.dropout), seed,
+        ):
+            history.append(loss)
+            _check_loss(history)
+        return self._copyValues(AspectNetModel({k: v.astype(np.float32) for k, v in weights.items()}, history))
+
     def _fit(self, df: DataFrame) -> AspectNetModel:
+        if self.getOrDefault(self.syncRows) > 0:
+            return self._fit_together(df)
         get = self.getOrDefault
         arch, hidden, seed = get(self.arch), tuple(get(self.hidden)), get(self.seed)
         rows, n_in, n_out = self._training_rows(df)
         sizes = kn.shapes(arch, n_in, hidden, n_out)
-        if 4 * sum(int(np.prod(s)) for s in sizes.values()) > _MODEL_LIMIT:
-            raise ValueError("the network is too large to broadcast; use fewer features or units")
+        _check_size(sizes)
         weights = kn.initial(arch, n_in, hidden, n_out, seed)
         batch, rate, clip = get(self.batchSize), get(self.learningRate), get(self.clipNorm)
         drop = get(self.dropout)
@@ -206,8 +243,7 @@ class AspectNet(_NetParams, Estimator, DefaultParamsReadable, DefaultParamsWrita
             shared.destroy()
             parts = [(r["name"], r["chunk"], np.frombuffer(r["w"], np.float32)) for r in averaged]
             history.append(float(next(v[0] for name, _, v in parts if name == "loss")))
-            if not np.isfinite(history[-1]):
-                raise ArithmeticError(f"loss is {history[-1]} after epoch {epoch + 1}; lower learningRate or set clipNorm")
+            _check_loss(history)
             weights = _assemble((p for p in parts if p[0] != "loss"), sizes)
         return self._copyValues(AspectNetModel(weights, history))
 

@@ -40,3 +40,47 @@ def outputs(arch: str) -> list[str]:
     else:
         h = [f"({_sig(o)} * tanh({_sig(i)} * tanh({g})))" for i, g, o in zip(a[:2], a[2:4], a[4:], strict=True)]
     return _layer(h, w["wo"], w["bo"])
+
+
+# For gradients: off the places where a rectifier's input is zero, so that rounding decides no branch.
+SHIFTED = tuple(f"{x} + {by}" for x, by in zip(INPUTS, (0.0123, 0.0371, 0.0517), strict=True))
+TARGETS = ("CAST(l_extendedprice AS DOUBLE) / 100000", "CAST(l_linenumber AS DOUBLE) / 4")
+
+
+def _plain(w: np.ndarray, i: int, j: int) -> str:
+    return f"({float(w[i, j])!r})"
+
+
+def gradient_sql(arch: str) -> str:
+    """(name, at, value): the gradient of the mean squared error over all of lineitem, written out for ``mlp`` and ``rnn``."""
+    w = weights(arch)
+    steps = [", ".join([*(f"CAST(CAST({x} AS FLOAT) AS DOUBLE) AS x{i}" for i, x in enumerate(SHIFTED)), *(f"CAST({y} AS FLOAT) AS y{j}" for j, y in enumerate(TARGETS))])]
+    wide = w["w0"].shape[1]
+
+    def layer(values: list[str], name: str) -> list[str]:
+        return _layer(values, w[f"w{name}"], w[f"b{name}"])
+
+    steps.append(", ".join(f"{a} AS a{j}" for j, a in enumerate(layer([f"x{i}" for i in range(len(INPUTS))], "0"))))
+    if arch == "mlp":
+        steps.append(", ".join(f"greatest(a{j}, 0.0) AS f{j}" for j in range(wide)))
+        steps.append(", ".join(f"greatest({s}, 0.0) AS h{j}" for j, s in enumerate(layer([f"f{j}" for j in range(wide)], "1"))))
+    else:
+        steps.append(", ".join(f"tanh(a{j}) AS h{j}" for j in range(wide)))
+    top = w["wo"].shape[0]
+    steps.append(", ".join(f"2.0 * ({o} - y{j}) / {OUTPUTS} AS d{j}" for j, o in enumerate(layer([f"h{i}" for i in range(top)], "o"))))
+    back = [" + ".join(f"d{j} * {_plain(w['wo'], i, j)}" for j in range(OUTPUTS)) for i in range(top)]
+    values = {("wo", i * OUTPUTS + j): f"h{i} * d{j}" for i in range(top) for j in range(OUTPUTS)} | {("bo", j): f"d{j}" for j in range(OUTPUTS)}
+    if arch == "mlp":
+        steps.append(", ".join(f"CASE WHEN h{i} > 0 THEN {b} ELSE 0.0 END AS s{i}" for i, b in enumerate(back)))
+        values |= {("w1", i * top + j): f"f{i} * s{j}" for i in range(wide) for j in range(top)} | {("b1", j): f"s{j}" for j in range(top)}
+        down = [" + ".join(f"s{j} * {_plain(w['w1'], i, j)}" for j in range(top)) for i in range(wide)]
+        steps.append(", ".join(f"CASE WHEN f{i} > 0 THEN {b} ELSE 0.0 END AS e{i}" for i, b in enumerate(down)))
+    else:
+        steps.append(", ".join(f"({b}) * (1.0 - h{i} * h{i}) AS e{i}" for i, b in enumerate(back)))
+    values |= {("w0", i * wide + j): f"x{i} * e{j}" for i in range(len(INPUTS)) for j in range(wide)} | {("b0", j): f"e{j}" for j in range(wide)}
+    table = "lineitem"
+    for columns in steps:
+        table = f"(SELECT *, {columns} FROM {table})"
+    means = ", ".join(f"avg({v}) AS {name}_{at}" for (name, at), v in values.items())
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS name, {at} AS at, round({name}_{at}, 7) + 0.0 AS value FROM means" for name, at in values)
+    return f"WITH means AS (SELECT {means} FROM {table}) {rows}"

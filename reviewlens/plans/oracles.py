@@ -390,6 +390,8 @@ def oracle_sql() -> dict[str, str]:
     for arch in formulas.HIDDEN:
         values = ", ".join(f"round({sql}, 10) AS p{i}" for i, sql in enumerate(formulas.outputs(arch)))
         out[f"forward_{arch}"] = f"SELECT l_orderkey, l_linenumber, {values} FROM lineitem"
+    for arch in ("mlp", "rnn"):
+        out[f"gradient_{arch}"] = formulas.gradient_sql(arch)
     for name in ("stored_model", "stream_score", "random_split", "auto_label_rest"):
         out[f"{name}_difference"] = "SELECT CAST(0 AS BIGINT) AS n_different"
     out["count_vectors"] = f"{_WORDS} SELECT doc_id, term, tf FROM per_doc JOIN stats USING (term) WHERE df >= 5"

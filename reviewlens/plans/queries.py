@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reviewlens.functions import labels as lb
 from reviewlens.functions import patterns as pt
 from reviewlens.functions import text as tx
-from reviewlens.operators import annotate, metrics, phrases, rows, segment, terms
+from reviewlens.operators import annotate, descent, metrics, phrases, rows, segment, terms
 from reviewlens.operators.features import feature_pipeline
 from reviewlens.operators.net import AspectNet, AspectNetModel
 from reviewlens.plans import derived as dv
@@ -521,6 +521,34 @@ for _arch in ("mlp", "rnn", "gru", "lstm"):
     _forward_query(_arch)
 
 
+def _gradient_query(arch: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """One full-batch gradient of a network with fixed weights over order lines, put together from all tasks."""
+        lines = dv.table(spark, sf_dir, "lineitem").select(
+            array_to_vector(F.array(*map(F.expr, formulas.SHIFTED))).alias("features"), F.array(*map(F.expr, formulas.TARGETS)).alias("label")
+        )
+        table = descent.numbered(lines, "features", "label", 50)
+        _, found = descent.gradient(table, arch, formulas.weights(arch), 0, table.count())
+        # As many rows as the network has weights.
+        cells = [(name, i, float(v)) for name, g in found.items() for i, v in enumerate(g.ravel())]
+        values = spark.createDataFrame(cells, "name string, at int, value double")
+        return values.withColumn("value", F.round("value", 7) + 0.0)
+
+    _QUERIES[f"gradient_{arch}"] = run
+
+
+for _arch in ("mlp", "rnn"):
+    _gradient_query(_arch)
+
+
+@query
+def train_together(spark, sf_dir):
+    """Accuracy of a network trained by synchronous steps of 2,000 rows."""
+    return jobs.train(
+        dv.reviews(spark, sf_dir), "lstm", "tfidf", WIDTH, jobs.Prep("basic"), hidden=[32], maxEpoch=2, syncRows=2000
+    ).report
+
+
 def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
     """Number of rows that one of two tables has more often than the other."""
     return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("n_different"))

@@ -114,7 +114,7 @@ def test_words_learned_in_training_are_used_in_scoring(spark, reviews, trained):
     done = jobs.train(reviews, "rnn", "tfidf", 64, segment_rounds=2, segment_threshold=2.0, hidden=[4], maxEpoch=1, numPartitions=2)
     assert done.prep.lexicon_path
     lexicon = {r["word"] for r in spark.read.parquet(done.prep.lexicon_path).collect()}
-    assert "ngon_tuyệt" in lexicon
+    assert any(w.startswith("ngon_tuyệt") for w in lexicon)
     cleaned = done.prep.sentences(reviews, ["doc_id"]).filter("doc_id = 0").collect()[0]["cmt"]
     assert cleaned.startswith("ngon_tuyệt")
     assert jobs.score(reviews, done.features, done.net, done.prep, ["doc_id"]).count() == 400
