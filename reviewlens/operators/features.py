@@ -6,8 +6,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, Tokenizer, VectorAssembler, Word2Vec
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewlens.operators.wordtables import TermCounts, WordVectors
+
 # Default width per kind of features.
-WIDTHS = {"wordcount": 3000, "tfidf": 10000, "word2vec": 300}
+WIDTHS = {"wordcount": 3000, "tfidf": 10000, "word2vec": 300, "termcount": 3000, "wordvectors": 300}
 
 
 def feature_pipeline(
@@ -19,13 +21,22 @@ def feature_pipeline(
 ) -> Pipeline:
     """``cmt`` to ``features``: word counts, hashed tf-idf or mean word vectors.
 
+    ``termcount`` and ``wordvectors`` are counts and mean vectors whose vocabulary is a table that never passes through the
+    driver (``operators.wordtables``): the kinds for large corpora.
+
     Word vectors are trained on one partition per core and averaged; ``w2v_partitions=1`` trains
     them in a single task, which suits small tables only. Spark keeps the words seen at least
     ``w2v_min_count`` times in the driver, so raise it with the corpus.
     """
     if kind not in WIDTHS:
-        raise ValueError("kind must be 'wordcount', 'tfidf' or 'word2vec'")
+        raise ValueError(f"kind must be one of {', '.join(WIDTHS)}")
     width = num_features or WIDTHS[kind]
+    last = VectorAssembler(inputCols=["features_vec"], outputCol="features")
+    if kind == "termcount":
+        # Here 0 asks for the whole vocabulary.
+        return Pipeline(stages=[TermCounts(vocabSize=width if num_features != 0 else 0, minDF=int(min_df)), last])
+    if kind == "wordvectors":
+        return Pipeline(stages=[WordVectors(vectorSize=width, minCount=w2v_min_count), last])
     tokenizer = Tokenizer(inputCol="cmt", outputCol="words")
     if kind == "wordcount":
         middle = [CountVectorizer(inputCol="words", outputCol="features_vec", minDF=min_df, vocabSize=width)]
@@ -42,7 +53,6 @@ def feature_pipeline(
                 numPartitions=parts, minCount=w2v_min_count,
             )
         ]
-    last = VectorAssembler(inputCols=["features_vec"], outputCol="features")
     return Pipeline(stages=[tokenizer, *middle, last])
 
 

@@ -381,6 +381,16 @@ def oracle_sql() -> dict[str, str]:
         f"{_WORDS} SELECT CAST(row_number() OVER (ORDER BY n DESC, term) - 1 AS INTEGER) AS rank, term, n, df "
         "FROM stats WHERE df >= 5 ORDER BY n DESC, term LIMIT 500"
     )
+    out["ranked_vocabulary"] = f"{_WORDS} SELECT term, n, df, row_number() OVER (ORDER BY n DESC, term) - 1 AS rank FROM stats WHERE df >= 5"
+    out["cooccurrences"] = (
+        f"{_WORDS}, spots AS (SELECT doc_id, unnest(string_split_regex(body, {_lit(_BLANKS)})) AS w, "
+        f"unnest(range(1, len(string_split_regex(body, {_lit(_BLANKS)})) + 1)) AS i FROM trimmed WHERE NOT (body = '' AND cmt <> '')), "
+        "near AS (SELECT w AS a, lead(w, 1) OVER o AS b1, lead(w, 2) OVER o AS b2 FROM spots WINDOW o AS (PARTITION BY doc_id ORDER BY i)), "
+        "once AS (SELECT a, b1 AS b FROM near WHERE b1 IS NOT NULL UNION ALL SELECT a, b2 FROM near WHERE b2 IS NOT NULL), "
+        "both_ways AS (SELECT a, b FROM once UNION ALL SELECT b, a FROM once) "
+        "SELECT p.a, p.b, count(*) AS n, any_value(x.n) AS n_a, any_value(y.n) AS n_b FROM both_ways p "
+        "JOIN stats x ON x.term = p.a AND x.n >= 20 JOIN stats y ON y.term = p.b AND y.n >= 20 GROUP BY p.a, p.b"
+    )
     out["document_terms"] = f"{_WORDS} SELECT doc_id, term, tf FROM per_doc"
     out["term_tfidf"] = (
         f"{_WORDS} SELECT doc_id, term, tf, df, "

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +11,11 @@ from pyspark.sql import functions as F
 from reviewlens.functions import labels as lb
 from reviewlens.functions import patterns as pt
 from reviewlens.functions import text as tx
-from reviewlens.operators import annotate, descent, metrics, phrases, rows, segment, terms
+from reviewlens.operators import annotate, descent, metrics, phrases, rows, segment, terms, vectors
 from reviewlens.operators.features import feature_pipeline
+from reviewlens.operators.lookup import attach_by_key
 from reviewlens.operators.net import AspectNet, AspectNetModel
+from reviewlens.operators.wordtables import ranked_vocabulary as ranked_words
 from reviewlens.plans import derived as dv
 from reviewlens.plans import formulas, jobs
 from reviewlens.schema import ANNOTATION_ASPECTS, ASPECTS
@@ -397,17 +397,35 @@ def document_terms(spark, sf_dir):
 
 @query
 def count_vectors(spark, sf_dir):
-    """The word-count pipeline with room for the whole vocabulary, its vectors as terms."""
+    """The word-count pipeline over the whole vocabulary, its vectors as terms; the vocabulary is a table throughout."""
     table = _cleaned(spark, sf_dir)
-    room = terms.term_stats(table).filter(F.col("df") >= 5).count()
-    model = feature_pipeline("wordcount", max(1, room)).fit(table)
-    counter = next(s for s in model.stages if isinstance(s, CountVectorizerModel))
-    names = spark.createDataFrame(pd.DataFrame({"at": range(len(counter.vocabulary)), "term": counter.vocabulary}))
+    model = feature_pipeline("termcount", 0).fit(table)
+    names = model.stages[0].table.select(F.col("rank").cast("int").alias("at"), "term", "n")
     cells = model.transform(table).select("doc_id", F.inline(_sparse_cells("features")))
-    found = cells.filter(F.col("value") != 0).join(names, "at")
+    found = attach_by_key(cells.filter(F.col("value") != 0), names, "at", "n")
     return found.select("doc_id", "term", F.col("value").cast("long").alias("tf"))
 
 
+@query
+def ranked_vocabulary(spark, sf_dir):
+    """All words of at least five reviews, ranked by frequency."""
+    return ranked_words(_cleaned(spark, sf_dir), None)
+
+
+@query
+def cooccurrences(spark, sf_dir):
+    """Words within two places of each other."""
+    return vectors.cooccurrences(_cleaned(spark, sf_dir), window=2, least=20)
+
+
+@query
+def word_vectors(spark, sf_dir):
+    """Mean word vectors from co-occurrence."""
+    table = _cleaned(spark, sf_dir)
+    out = feature_pipeline("wordvectors", 16).fit(table).transform(table)
+    return out.select("doc_id", F.posexplode(vector_to_array("features")).alias("at", "value"))
+
+
 @query
 def hashing_tf(spark, sf_dir):
     """Words per review, as the sum over the hashed term frequencies."""
