@@ -152,3 +152,55 @@ def benchmark(
     return metrics.multilabel_f1(
         others.join(truth, key), average, aspects=aspects, by=["annotator"]
     )
+
+
+def side_by_side(
+    annotations: DataFrame, names: Sequence[str], key: str = "rec", codes: str = "codes", review: str = "review"
+) -> DataFrame:
+    """One row per record with what each of ``names`` has of it: (key, n_<i>, d_<i>, e_<i>, y_<i>) in the order of the names.
+
+    n is the annotator's number of rows for the record, d and e are two digests of the review (null where it is missing) and
+    y the codes. The only shuffle is that of fixed-width columns, combined in every task first: codes travel as one number.
+    Of several rows for one record the largest values stay; n tells.
+    """
+    packed = F.aggregate(F.reverse(codes), F.lit(0).cast("long"), lambda s, c: s * 4 + c.cast("long"))
+    text = F.col(review)
+    rows = annotations.select(
+        "annotator", key, packed.alias("packed"), F.size(codes).alias("width"),
+        F.when(text.isNotNull(), F.xxhash64(text)).alias("d"), F.when(text.isNotNull(), F.xxhash64(F.lit(1), text)).alias("e"),
+    )
+    own = [F.col("annotator") == name for name in names]
+    wide = rows.groupBy(key).agg(F.max("width").alias("width"), *[
+        column.alias(f"{c}_{i}") for i, mine in enumerate(own) for c, column in (
+            ("n", F.sum(mine.cast("long"))), ("d", F.max(F.when(mine, F.col("d")))),
+            ("e", F.max(F.when(mine, F.col("e")))), ("y", F.max(F.when(mine, F.col("packed")))),
+        )
+    ])
+    places = F.sequence(F.lit(0), F.col("width") - 1)
+
+    def unpacked(i: int) -> Column:
+        """A code is two bits; 31 of them fit a long."""
+        return F.transform(places, lambda j: F.call_function("shiftright", F.col(f"y_{i}"), j * 2).bitwiseAND(F.lit(3)).cast("int"))
+
+    return wide.select(key, *[c for i in range(len(names)) for c in (f"n_{i}", f"d_{i}", f"e_{i}")], *[
+        F.when(F.col(f"n_{i}") > 0, unpacked(i)).alias(f"y_{i}") for i in range(len(names))
+    ])
+
+
+def misaligned_side_by_side(wide: DataFrame, names: Sequence[str], gold: str, key: str = "rec") -> DataFrame:
+    """(key, annotator, problem) of a ``side_by_side`` table: records only one of an annotator and ``gold`` has, or more than once, or
+    whose reviews differ. Two missing reviews are equal."""
+    g = list(names).index(gold)
+    found = []
+    for i, name in enumerate(names):
+        if i == g:
+            continue
+        same = F.col(f"d_{i}").eqNullSafe(F.col(f"d_{g}")) & F.col(f"e_{i}").eqNullSafe(F.col(f"e_{g}"))
+        problem = (
+            F.when((F.col(f"n_{i}") == 0) & (F.col(f"n_{g}") == 0), None)
+            .when(F.col(f"n_{i}") == 0, F.lit(f"not in {name}")).when(F.col(f"n_{g}") == 0, F.lit(f"not in {gold}"))
+            .when(F.col(f"n_{i}") > 1, F.lit(f"repeated in {name}")).when(F.col(f"n_{g}") > 1, F.lit(f"repeated in {gold}"))
+            .when(~same, F.lit("different review"))
+        )
+        found.append(F.struct(F.lit(name).alias("annotator"), problem.alias("problem")))
+    return wide.select(key, F.inline(F.array(*found))).filter(F.col("problem").isNotNull())

@@ -84,17 +84,46 @@ def split_reviews(
 
     ``hash`` looks only at ``key``: both sides are plain filters, need no shuffle, and stay
     disjoint however often the input is recomputed. ``random`` is Spark's sampler, whose result
-    depends on the partitioning.
+    depends on the partitioning. ``exact`` gives the training side exactly round(train_ratio * rows) rows, the same
+    ones on any partitioning, see ``exact_split``.
     """
+    if method == "exact":
+        return exact_split(df, train_ratio, seed)
     if method == "random":
         train, test = df.randomSplit([train_ratio, 1 - train_ratio], seed)
         return train, test
     if method != "hash" or key is None:
-        raise ValueError("method must be 'hash' (with a key) or 'random'")
+        raise ValueError("method must be 'hash' (with a key), 'random' or 'exact'")
     inside = hash_bucket(key, seed, 1000) < round(train_ratio * 1000)
     return df.filter(inside), df.filter(~inside)
 
 
+def exact_split(df: DataFrame, train_ratio: float = 0.8, seed: int = 50, bits: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Two sides, the first of exactly round(train_ratio * rows) rows, chosen by a hash of the whole row.
+
+    The hash below which just that many rows lie is found by histograms: each pass counts the rows in 2**bits equal ranges
+    of the hashes still in question, and goes on within the one where the wanted number falls. So a few counts reach the
+    driver and rows are never sorted. Of equal rows at that hash as many as are wanted are taken; which of them does not matter.
+    """
+    hashed = F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), *df.columns), F.lit(1))
+    marked = cut_lineage(df.select(F.struct(*df.columns).alias("row"), hashed.alias("h")))
+    wanted, low, width = round(train_ratio * marked.count()), 0, 63
+    while width > 0 and wanted > 0:
+        step = min(bits, width)
+        width -= step
+        inside = marked.filter((F.col("h") >= low) & (F.col("h") <= low + (1 << (width + step)) - 1))
+        counts = dict(inside.groupBy(F.shiftright(F.col("h") - low, width)).count().collect())
+        for k in sorted(counts):
+            if wanted <= counts[k]:
+                low += k << width
+                break
+            wanted -= counts[k]
+    ties = with_row_index(marked.filter(F.col("h") == low), name="tie", stable=True)
+    first = marked.filter(F.col("h") < low).unionByName(ties.filter(F.col("tie") < wanted).drop("tie"))
+    second = marked.filter(F.col("h") > low).unionByName(ties.filter(F.col("tie") >= wanted).drop("tie"))
+    return first.select("row.*"), second.select("row.*")
+
+
 def prediction_columns(
     df: DataFrame, c: str = "prediction", names: Sequence[str] = ASPECTS, keep: Sequence[str] = ()
 ) -> DataFrame:

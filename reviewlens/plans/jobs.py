@@ -18,7 +18,7 @@ from reviewlens.operators.net import AspectNet, AspectNetModel
 from reviewlens.operators.rows import clean_reviews, clean_sentences, sentence_result, split_reviews
 from reviewlens.operators.segment import THRESHOLD, learn_lexicon, segment
 from reviewlens.schema import ANNOTATION_ASPECTS, ASPECTS
-from reviewlens.session import scratch_path
+from reviewlens.session import cut_lineage, scratch_path
 from reviewlens.sources.models import load_features, load_net, save_features, save_net
 from reviewlens.sources.reviews import sentences_df
 
@@ -209,13 +209,18 @@ def compare_annotators(
 ) -> DataFrame:
     """(measure, f1): agreement of two annotators, and each against gold.
 
-    Refuses tables whose records do not match, and says which.
+    Refuses tables whose records do not match, and says which. Records are brought together once, by one shuffle
+    whose result is written; the check and all measures read that.
     """
-    for other in (a, b):
-        wrong = annotate.misaligned(annotations, gold, other, key).limit(5).collect()
-        if wrong:
-            raise ValueError(f"{other} and {gold} differ, for example: {[tuple(r) for r in wrong]}")
+    others = [r[0] for r in annotations.select("annotator").distinct().collect()]
+    names = [a, b, *sorted({*others, gold} - {a, b})]
     coded = annotate.with_codes(annotations, aspects)
-    same = annotate.agreement(coded, a, b, key, aspects).select(F.lit("agreement").alias("measure"), "f1")
-    marks = annotate.benchmark(coded, gold, key, aspects)
-    return same.unionByName(marks.select(F.concat(F.lit("benchmark "), "annotator").alias("measure"), "f1"))
+    wide = cut_lineage(annotate.side_by_side(coded, names, key))
+    wrong = annotate.misaligned_side_by_side(wide, names, gold, key).filter(F.col("annotator").isin(a, b)).limit(5).collect()
+    if wrong:
+        raise ValueError(f"{wrong[0]['annotator']} and {gold} differ, for example: {[tuple(r) for r in wrong]}")
+    g = names.index(gold)
+    pairs = [(F.lit("agreement"), "y_0", "y_1")] + [(F.lit(f"benchmark {n}"), f"y_{g}", f"y_{i}") for i, n in enumerate(names) if i != g]
+    cells = F.array(*[F.struct(m.alias("measure"), F.col(t).alias("y_true"), F.col(p).alias("y_pred")) for m, t, p in pairs])
+    rows = wide.select(F.inline(cells)).filter(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
+    return metrics.multilabel_f1(rows, "micro", aspects=aspects, by=["measure"])

@@ -285,6 +285,10 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT doc_id, {dv.CMT} AS cmt, CASE WHEN CAST('0x' || substr(md5('50:' || doc_id), 1, 8) AS BIGINT) % 1000 < 800 "
         "THEN 'train' ELSE 'test' END AS side FROM documents"
     )
+    out["exact_split"] = (
+        "WITH n AS (SELECT count(*) AS n, CAST(round_even(0.8 * count(*), 0) AS BIGINT) AS t FROM documents) "
+        "SELECT 'train' AS side, t AS n_rows FROM n UNION ALL SELECT 'test', n - t FROM n"
+    )
     out["parse_labels"] = f"WITH {_REVIEWS} SELECT doc_id, {_aspect_columns(lambda j, a: _value(a))} FROM reviews"
     out["label_array"] = out["parse_labels"]
     out["parse_labels_exact"] = (
@@ -402,7 +406,7 @@ def oracle_sql() -> dict[str, str]:
         out[f"forward_{arch}"] = f"SELECT l_orderkey, l_linenumber, {values} FROM lineitem"
     for arch in ("mlp", "rnn"):
         out[f"gradient_{arch}"] = formulas.gradient_sql(arch)
-    for name in ("stored_model", "stream_score", "random_split", "auto_label_rest"):
+    for name in ("stored_model", "stream_score", "random_split", "exact_split", "auto_label_rest"):
         out[f"{name}_difference"] = "SELECT CAST(0 AS BIGINT) AS n_different"
     out["count_vectors"] = f"{_WORDS} SELECT doc_id, term, tf FROM per_doc JOIN stats USING (term) WHERE df >= 5"
     out["hashing_tf"] = f"{_WORDS} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n_words FROM per_doc GROUP BY doc_id"

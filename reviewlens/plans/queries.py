@@ -173,6 +173,22 @@ def random_split(spark, sf_dir):
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
 
 
+@query
+def exact_split(spark, sf_dir):
+    """Rows and words of both sides of a split of exact share, with the first side's rows as wanted."""
+    train, test = rows.split_reviews(dv.texts(spark, sf_dir, spread=False), method="exact")
+    both = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return both.groupBy("side").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def exact_split_difference(spark, sf_dir):
+    """Both sides of a split of exact share, put together, against the whole table."""
+    table = dv.texts(spark, sf_dir, spread=False)
+    train, test = rows.split_reviews(table, method="exact")
+    return _differing(train.unionByName(test), table)
+
+
 @query
 def parse_labels(spark, sf_dir):
     return dv.reviews(spark, sf_dir, text=False).select("doc_id", *[lb.parse_label(a).alias(a) for a in ASPECTS])

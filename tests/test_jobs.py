@@ -118,3 +118,39 @@ def test_words_learned_in_training_are_used_in_scoring(spark, reviews, trained):
     cleaned = done.prep.sentences(reviews, ["doc_id"]).filter("doc_id = 0").collect()[0]["cmt"]
     assert cleaned.startswith("ngon_tuyệt")
     assert jobs.score(reviews, done.features, done.net, done.prep, ["doc_id"]).count() == 400
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_annotators_are_compared_after_one_shuffle_of_rows(spark):
+    rows = [("a", 1, "x", [0, 3, 1]), ("b", 1, "x", [0, 2, 1]), ("g", 1, "x", [1, 3, 1]), ("a", 2, None, [2, 0, 0]), ("b", 2, None, [2, 0, 0]), ("g", 2, None, [2, 0, 3])]
+    table = spark.createDataFrame(rows, "annotator string, rec int, review string, codes array<int>")
+    wide = annotate.side_by_side(table, ["a", "b", "g"])
+    assert _plan(wide).count("Exchange hashpartitioning") == 1 and "SortAggregate" not in _plan(wide)
+    got = {r["rec"]: (r["y_0"], r["y_1"], r["y_2"]) for r in wide.collect()}
+    assert got == {1: ([0, 3, 1], [0, 2, 1], [1, 3, 1]), 2: ([2, 0, 0], [2, 0, 0], [2, 0, 3])}
+    assert annotate.misaligned_side_by_side(wide, ["a", "b", "g"], "g").count() == 0
+    bad = [("a", 3, "x", [0]), ("g", 3, "y", [0]), ("b", 3, "y", [0]), ("a", 4, "x", [0]), ("g", 5, "x", [0]), ("a", 5, "x", [0]), ("a", 5, "x", [0]), ("a", 6, None, [0]), ("g", 6, "", [0])]
+    wide = annotate.side_by_side(spark.createDataFrame(bad, table.schema), ["a", "b", "g"])
+    found = sorted(map(tuple, annotate.misaligned_side_by_side(wide, ["a", "b", "g"], "g").collect()))
+    assert found == [
+        (3, "a", "different review"), (4, "a", "not in g"), (5, "a", "repeated in a"), (5, "b", "not in b"), (6, "a", "different review"), (6, "b", "not in b"),
+    ]
+
+
+@pytest.mark.parametrize("parts", [2, 7])
+def test_exact_split_takes_the_same_rows_on_any_partitioning(spark, parts):
+    from reviewlens.operators.rows import exact_split
+
+    df = spark.range(1003).select("id", F.concat(F.lit("t"), F.col("id") % 10).alias("cmt"))
+    same = spark.createDataFrame([(5000, "copy")] * 500 + [(None, None)] * 3, "id long, cmt string")
+    table = df.unionByName(same).repartition(parts)
+    train, test = exact_split(table, 0.8, bits=4)
+    assert (train.count(), test.count()) == (1205, 301)
+    assert sorted(map(repr, train.unionByName(test).collect())) == sorted(map(repr, table.collect()))
+    one, _ = exact_split(df.unionByName(same).coalesce(1), 0.8)
+    assert sorted(map(repr, train.collect())) == sorted(map(repr, one.collect()))
+    none, every = exact_split(df.limit(0), 0.8)
+    assert none.count() == every.count() == 0
