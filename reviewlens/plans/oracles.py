@@ -251,6 +251,7 @@ def oracle_sql() -> dict[str, str]:
     out["read_reviews"] = f"WITH {_REVIEWS} SELECT doc_id, cmt, " + _aspect_columns(
         lambda j, a: f"nullif({a}, 'nan')"
     ) + " FROM reviews"
+    out["read_reviews_split"] = out["read_reviews"]
     out["read_reviews_two_folders"] = f"WITH {_REVIEWS} SELECT doc_id, cmt, " + _aspect_columns(
         lambda j, a: f"nullif({a}, 'nan')"
     ) + " FROM reviews"

@@ -83,6 +83,19 @@ def read_reviews(spark, sf_dir):
     return rv.read_reviews(spark, path, keep=["doc_id"]).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+@query
+def read_reviews_split(spark, sf_dir):
+    """One large file, its reviews with line breaks in quotes, read by as many tasks as it has splits."""
+    path = scratch_path(spark, "reviews-csv")
+    table = dv.reviews(spark, sf_dir).select("doc_id", "cmt", *ASPECTS)
+    (
+        table.write.option("header", True).option("escape", '"').option("quoteAll", True)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
+    found = rv.read_reviews(spark, path, keep=["doc_id"], multi_line="split")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 @query
 def read_reviews_two_folders(spark, sf_dir):
     """Two folders loaded and their rows put together."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.schema import ASPECTS
 from reviewlens.session import spread_out
+from reviewlens.sources.csv_records import read_split_csv
 
 # Cell texts a CSV reader takes as missing.
 MISSING_CELLS = [
@@ -18,13 +19,13 @@ MISSING_CELLS = [
 ]
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool | str = True) -> DataFrame:
     """Every column as text, missing cells null.
 
-    Quoted line breaks need ``multi_line``, which reads each file in one task; files without them
-    can be split by turning it off.
+    Quoted line breaks need ``multi_line``, which reads each file in one task, or ``multi_line="split"``, which reads large files
+    in many (``sources.csv_records``); files without such breaks can be split by turning it off.
     """
-    df = (
+    df = read_split_csv(spark, path) if multi_line == "split" else (
         spark.read.option("header", True).option("multiLine", multi_line)
         .option("quote", '"').option("escape", '"').csv(path)
     )
@@ -36,7 +37,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
 
 
 def read_reviews(
-    spark: SparkSession, paths: str | Sequence[str], keep: Sequence[str] = (), multi_line: bool = True
+    spark: SparkSession, paths: str | Sequence[str], keep: Sequence[str] = (), multi_line: bool | str = True
 ) -> DataFrame:
     """``cmt`` and the seven label columns as text, by name, rows of all paths together.
 
