@@ -152,7 +152,7 @@ def multilabel_f1(
     """F1 over the (aspect, sentiment) indicators: micro, macro, weighted or samples.
 
     ``labels`` picks indicators by position (``3 * aspect + code - 1``), ``sample_weight`` names a column
-    of row weights, and ``zero_division`` is the value of an F1 without any true or predicted mark.
+    of row weights, and ``zero_division`` is the value of an F1 without any true or predicted mark, or without any weight.
     """
     if zero_division or labels is not None or sample_weight:
         return _weighted_f1(df, average, true, pred, aspects, by, zero_division, labels, sample_weight)
@@ -199,7 +199,8 @@ def _weighted_f1(df, average, true, pred, aspects, by, zero_division, labels, sa
     if average == "samples":
         tp, t, p = (sum((c[k] for c in cells), zero) for k in range(3))
         scored = df.select(*by, f1(tp, t + p).alias("f1"), weight.alias("w"))
-        return scored.groupBy(*by).agg((F.sum(F.col("f1") * F.col("w")) / F.sum("w")).alias("f1"))
+        mean = F.when(F.sum("w") > 0, F.sum(F.col("f1") * F.col("w")) / F.sum("w")).otherwise(F.lit(float(zero_division)))
+        return scored.groupBy(*by).agg(mean.alias("f1"))
     sums = df.groupBy(*by).agg(*[
         F.coalesce(F.sum(c[k] * weight), zero).alias(f"_{name}{i}") for i, c in enumerate(cells) for k, name in enumerate("xtp")
     ])

@@ -173,3 +173,10 @@ def test_a_document_with_most_edits(spark):
     for i in range(20_000):
         want[0 if i % 3 == 0 else i % 1000] = "neutral" if i % 2 == 0 else "positive"
     assert got == {k: want[k] for k in got}
+
+
+@pytest.mark.parametrize("average", ["micro", "macro", "weighted", "samples"])
+def test_weights_that_are_all_zero(spark, average):
+    df = spark.createDataFrame([([1], [1], 0.0), ([2], [1], 0.0)], "y_true array<int>, y_pred array<int>, w double")
+    got = metrics.multilabel_f1(df, average, aspects=["A"], sample_weight="w", zero_division=0.5).collect()[0]["f1"]
+    assert got == 0.5
