@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 from reviewlens.operators import kernels as kn
+from reviewlens.schema import ASPECTS
 
 INPUTS = ("CAST(l_quantity AS DOUBLE) / 50", "CAST(l_discount AS DOUBLE) * 10", "CAST(l_tax AS DOUBLE) * 10")
 OUTPUTS = 2
 HIDDEN = {"mlp": (3, 2), "rnn": (2,), "gru": (2,), "lstm": (2,)}
 
 
-def weights(arch: str) -> kn.Weights:
+def weights(arch: str, inputs: int = len(INPUTS), outputs: int = OUTPUTS) -> kn.Weights:
     """Quarters between -3/4 and 3/4, so that single and double precision hold the same values."""
     out = {}
-    for k, (name, shape) in enumerate(sorted(kn.shapes(arch, len(INPUTS), HIDDEN[arch], OUTPUTS).items())):
+    for k, (name, shape) in enumerate(sorted(kn.shapes(arch, inputs, HIDDEN[arch], outputs).items())):
         out[name] = ((np.arange(np.prod(shape)) * 5 + 3 * k + 1) % 7 - 3).reshape(shape).astype(np.float32) / 4
     return out
 
@@ -27,10 +30,10 @@ def _sig(a: str) -> str:
     return f"(1.0 / (1.0 + exp(-{a})))"
 
 
-def outputs(arch: str) -> list[str]:
-    """The network's outputs over lineitem, in SQL that Spark and DuckDB both read."""
-    w = weights(arch)
-    a = _layer(list(INPUTS), w["w0"], w["b0"])
+def outputs(arch: str, w: kn.Weights | None = None, inputs: Sequence[str] = INPUTS) -> list[str]:
+    """The network's outputs (by default over lineitem), in SQL that Spark and DuckDB both read."""
+    w = weights(arch) if w is None else w
+    a = _layer(list(inputs), w["w0"], w["b0"])
     if arch == "mlp":
         h = [f"greatest({x}, 0.0)" for x in _layer([f"greatest({x}, 0.0)" for x in a], w["w1"], w["b1"])]
     elif arch == "rnn":
@@ -84,3 +87,44 @@ def gradient_sql(arch: str) -> str:
     means = ", ".join(f"avg({v}) AS {name}_{at}" for (name, at), v in values.items())
     rows = " UNION ALL ".join(f"SELECT '{name}' AS name, {at} AS at, round({name}_{at}, 7) + 0.0 AS value FROM means" for name, at in values)
     return f"WITH means AS (SELECT {means} FROM {table}) {rows}"
+
+
+# Jobs over fixed models: counts of these words, seven outputs.
+VOCABULARY = ("that", "is", "with", "by", "ngon", "quá", "đắt", "price", "hastag", "hashtag")
+SENTENCES = ("Quán ngon quá, giá 50k", "with that price it is đắt", "it's \"ngon\"; is that by; đắt", "")
+PHRASES = [("of", "the"), ("in", "the"), ("the", "same"), ("to", "the"), ("ngon", "quá")]
+
+
+def model_weights(arch: str) -> kn.Weights:
+    """A network over the words of ``VOCABULARY``. The sixteenth in the last bias keeps saturated outputs, which are
+    multiples of a quarter, off the places where sentiments change."""
+    w = weights(arch, len(VOCABULARY), len(ASPECTS))
+    return {**w, "bo": w["bo"] + np.float32(0.0625)}
+
+
+_WORD = 1 << 32
+
+
+def _turned(x: str, by: int) -> str:
+    return f"(({x}) * {1 << by} % {_WORD} + ({x}) // {1 << (32 - by)})"
+
+
+def bucket_sql(term: str, width: int) -> str:
+    """The bucket of a term among ``width``: the published 32-bit murmur hash of its bytes with seed 42, as a signed number."""
+
+    def mixed(k: str) -> str:
+        return f"list_transform(list_transform({k}, lambda k: k * 3432918353 % {_WORD}), lambda k: {_turned('k', 15)} * 461845907 % {_WORD})"
+
+    data = f"hex(encode({term}))"
+    number = "CAST('0x' || {} AS UBIGINT)"
+    block = number.format(" || ".join(f"substr(b, 8 * i + {at}, 2)" for at in (7, 5, 3, 1)))
+    blocks = f"list_transform(range(len(b) // 8), lambda i: {block})"
+    rest = number.format(" || ".join(f"substr(b, len(b) // 8 * 8 + {at}, 2)" for at in (5, 3, 1)))
+    tail = f"CASE WHEN len(b) % 8 = 0 THEN CAST(0 AS UBIGINT) ELSE {rest} END"
+    body = f"list_reduce(list_prepend(CAST(42 AS UBIGINT), {mixed(blocks)}), lambda h, k: ({_turned('xor(h, k)', 13)} * 5 + 3864292196) % {_WORD})"
+    h = f"xor(xor({body}, {mixed(f'[{tail}]')}[1]), CAST(len(b) // 2 AS UBIGINT))"
+    steps = f"list_transform([{h}], lambda h: xor(h, h // 65536) * 2246822507 % {_WORD})"
+    steps = f"list_transform({steps}, lambda h: xor(h, h // 8192) * 3266489909 % {_WORD})"
+    steps = f"list_transform({steps}, lambda h: xor(h, h // 65536))"
+    signed = f"list_transform({steps}, lambda h: CAST(h AS BIGINT) - CASE WHEN h >= {_WORD // 2} THEN {_WORD} ELSE 0 END)"
+    return f"list_transform(list_transform([{data}], lambda b: {signed}[1]), lambda s: (s % {width} + {width}) % {width})[1]"

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from reviewlens.functions import patterns as pt
-from reviewlens.functions import text as tx
 from reviewlens.plans import derived as dv
 from reviewlens.plans import formulas
-from reviewlens.plans.queries import PHRASE_THRESHOLD, SEGMENT
+from reviewlens.plans.queries import HASHED, PHRASE_THRESHOLD, SEGMENT
 from reviewlens.schema import ANNOTATION_ASPECTS, ASPECTS, SENTIMENTS
 
 _K = range(len(ASPECTS))
@@ -26,16 +25,37 @@ def _fold(text: str, rules) -> str:
     return text
 
 
+# Written out here, apart from the library, for the kinds of emoji that the texts hold: flags, keycaps, and signs with
+# a variation selector, skin tones or joiners.
+_SIGN = r"[©®\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]"
+_EMOJI = (
+    r"[\x{1F1E6}-\x{1F1FF}]|" + rf"{_SIGN}(?:\x{{FE0F}}|[\x{{1F3FB}}-\x{{1F3FF}}])?(?:\x{{200D}}{_SIGN}(?:\x{{FE0F}})?)*"
+    r"|[#*0-9]\x{FE0F}?\x{20E3}"
+)
+_HASHTAG = r"#[^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_PRICE = r"\p{Nd}+(?:[,.]\p{Nd}+)*[,.]?[ ]?(?:nghìn đồng|đồng|vnd|k|d|đ)"
+_TRAINING_SIGNS = r"""["#$%&'()*+,\-/\\:;<=>@\[\]^_`{|}~\n\r\t]"""
+_ANNOTATION_SIGNS = r"""["#$%&'()*+,\-./\\:;<=>@\[\]^_`{|}~\n\r\t]"""
+# The queries' acronyms, the spelling rules and the last rule, in the order in which they are carried out.
+_SPELLING = [
+    ("kks", "khách sạn"), ("pour", "pour que"), ("nvp", "nhân viên phục vụ"), ("oà ", "òa "), ("oá ", "óa "), ("oả ", "ỏa "),
+    ("oã ", "õa "), ("oạ ", "ọa "), ("oè", "òe"), ("oé", "óe"), ("oẻ", "ỏe"), ("oẽ", "õe"),
+    ("oẹ", "ọe"), ("uỳ", "ùy"), ("uý", "úy"), ("uỷ", "ủy"), ("uỹ", "ũy"), ("uỵ", "ụy"),
+    ("uà", "ùa"), ("uá ", "úa "), ("uả", "ủa"), ("uã", "ũa"), ("uạ", "ụa"), ("xẩy", "xảy"),
+    ("bẩy", "bảy"), ("gẫy", "gãy"), ("nvien", "nhân viên "), ("qay", "quay"), ("ìnhh", "ình"),
+]
+
+
 def _emoji(text: str) -> str:
-    return _sub(text, pt.emoji_pattern(), "")
+    return _sub(text, _EMOJI, "")
 
 
-def _spelling(text: str, acronyms=()) -> str:
-    return _fold(text, [*tx.merge_rules(acronyms), pt.DOUBLED_H])
+def _spelling(text: str) -> str:
+    return _fold(text, _SPELLING)
 
 
-def _special(text: str, chars: str = pt.SPECIAL_TRAINING, to: str = " ") -> str:
-    return _sub(text, pt.escape_class(chars), to)
+def _special(text: str, signs: str = _TRAINING_SIGNS, to: str = " ") -> str:
+    return _sub(text, signs, to)
 
 
 def _autocorrect(text: str) -> str:
@@ -56,8 +76,8 @@ def _basic(text: str) -> str:
 
 
 def _advanced(text: str) -> str:
-    text = _sub(_emoji(f"lower(nfc_normalize({text}))"), pt.HASHTAG, "HASTAG")
-    return _special(_spelling(_sub(text, pt.PRICE, "PRICE"), dv.RULES))
+    text = _sub(_emoji(f"lower(nfc_normalize({text}))"), _HASHTAG, "HASTAG")
+    return _special(_spelling(_sub(text, _PRICE, "PRICE")))
 
 
 def _base(text: str) -> str:
@@ -65,8 +85,8 @@ def _base(text: str) -> str:
 
 
 def _annotation(text: str) -> str:
-    text = _sub(_sub(_autocorrect(_base(text)), pt.PRICE, "giá_tiền"), pt.HASHTAG, "hashtag")
-    return _special(text, pt.SPECIAL_ANNOTATION, "")
+    text = _sub(_sub(_autocorrect(_base(text)), _PRICE, "giá_tiền"), _HASHTAG, "hashtag")
+    return _special(text, _ANNOTATION_SIGNS, "")
 
 
 def _q(name: str) -> str:
@@ -114,7 +134,7 @@ def _snap(p: str) -> str:
     )
 
 
-def _accuracy(guess: str, overall: bool) -> str:
+def _accuracy(guess: str, overall: bool, source: str = _PREDICTIONS) -> str:
     each = " UNION ALL ".join(
         f"SELECT '{a}' AS aspect, CAST(sum(CASE WHEN l{j} = {guess.format(j=j)} THEN 1 ELSE 0 END) AS BIGINT) "
         f"AS correct, count(*) AS total FROM guesses"
@@ -125,7 +145,7 @@ def _accuracy(guess: str, overall: bool) -> str:
         if overall else ""
     )
     return (
-        f"{_PREDICTIONS}, each AS ({each}), rows AS (SELECT * FROM each{every}) "
+        f"{source}, each AS ({each}), rows AS (SELECT * FROM each{every}) "
         "SELECT aspect, correct, total, round(correct / CAST(total AS DOUBLE), 9) AS accuracy FROM rows"
     )
 
@@ -211,6 +231,28 @@ def _segments(clean) -> str:
     )
 
 
+def _fixed(arch: str, clean, table: str = "texts", kept: str = "doc_id") -> str:
+    """CTEs that end in ``guesses`` (kept columns, p0 to p6): a fixed network over the word counts of ``table``'s cleaned cmt."""
+    split = f"string_split_regex(lower(coalesce({clean('cmt')}, '')), {_lit(_BLANKS)})"
+    counts = ", ".join(f"CAST(len(list_filter(ws, lambda w: w = {_lit(v)})) AS DOUBLE) AS x{i}" for i, v in enumerate(formulas.VOCABULARY))
+    values = formulas.outputs(arch, formulas.model_weights(arch), [f"x{i}" for i in range(len(formulas.VOCABULARY))])
+    return (
+        f"worded AS (SELECT {kept}, {split} AS ws FROM {table}), counted AS (SELECT {kept}, {counts} FROM worded), "
+        f"guesses AS (SELECT {kept}, " + ", ".join(f"{v} AS p{j}" for j, v in enumerate(values)) + " FROM counted)"
+    )
+
+
+def _sentence(p: str) -> str:
+    return f"CASE WHEN {p} <= -1.5 THEN '' WHEN {p} < -0.5 THEN '-1.0' WHEN {p} <= 0.5 THEN '0.0' ELSE '1.0' END"
+
+
+def _evaluated(arch: str, clean) -> str:
+    values = ", ".join(f"{_value(a)} AS l{j}" for j, a in enumerate(ASPECTS))
+    kept = ", ".join(f"l{j}" for j in _K)
+    source = f"WITH {_REVIEWS}, valued AS (SELECT cmt, {values} FROM reviews), {_fixed(arch, clean, 'valued', kept)}"
+    return _accuracy(_snap("p{j}"), True, source)
+
+
 def _text(expression: str) -> str:
     return f"WITH {_TEXTS} SELECT doc_id, {expression} AS cmt FROM texts"
 
@@ -233,15 +275,15 @@ def oracle_sql() -> dict[str, str]:
         "nfc": _text("nfc_normalize(cmt)"),
         "lower_text": _text("lower(cmt)"),
         "remove_emoji": _text(_emoji("cmt")),
-        "mask_hashtags": _text(_sub("cmt", pt.HASHTAG, "HASTAG")),
-        "mask_prices": _text(_sub("cmt", pt.PRICE, "PRICE")),
-        "spelling_rules": _text(_spelling("cmt", dv.RULES)),
+        "mask_hashtags": _text(_sub("cmt", _HASHTAG, "HASTAG")),
+        "mask_prices": _text(_sub("cmt", _PRICE, "PRICE")),
+        "spelling_rules": _text(_spelling("cmt")),
         "apply_rules": _text(_fold("cmt", dv.RULES)),
         "strip_special": _text(_special("cmt")),
         "autocorrect": _text(_autocorrect("lower(cmt)")),
-        "mask_prices_annotation": _text(_sub("cmt", pt.PRICE, "giá_tiền")),
-        "mask_hashtags_annotation": _text(_sub("cmt", pt.HASHTAG, "hashtag")),
-        "delete_special": _text(_special("cmt", pt.SPECIAL_ANNOTATION, "")),
+        "mask_prices_annotation": _text(_sub("cmt", _PRICE, "giá_tiền")),
+        "mask_hashtags_annotation": _text(_sub("cmt", _HASHTAG, "hashtag")),
+        "delete_special": _text(_special("cmt", _ANNOTATION_SIGNS, "")),
         "clean_base": _text(_base("cmt")),
         "clean_basic": _text(_basic("cmt")),
         "clean_advanced": _text(_advanced("cmt")),
@@ -411,6 +453,50 @@ def oracle_sql() -> dict[str, str]:
         out[f"{name}_difference"] = "SELECT CAST(0 AS BIGINT) AS n_different"
     out["count_vectors"] = f"{_WORDS} SELECT doc_id, term, tf FROM per_doc JOIN stats USING (term) WHERE df >= 5"
     out["hashing_tf"] = f"{_WORDS} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n_words FROM per_doc GROUP BY doc_id"
+    buckets = f"{_WORDS}, placed AS (SELECT term, {formulas.bucket_sql('term', HASHED)} AS bucket FROM stats)"
+    out["hashed_counts"] = (
+        f"{buckets} SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, CAST(sum(tf) AS DOUBLE) AS value FROM per_doc JOIN placed USING (term) GROUP BY doc_id, bucket"
+    )
+    out["split_features"] = (
+        f"{buckets}, {_REVIEWS}, sides AS (SELECT doc_id, {_value('general')} AS general, "
+        "CASE WHEN CAST('0x' || substr(md5('50:' || doc_id), 1, 8) AS BIGINT) % 1000 < 800 THEN 'train' ELSE 'test' END AS side FROM reviews), "
+        "cells AS (SELECT side, doc_id, any_value(general) AS general, bucket, sum(tf) AS tf FROM per_doc JOIN placed USING (term) JOIN sides USING (doc_id) GROUP BY side, doc_id, bucket), "
+        "known AS (SELECT bucket, count(*) AS df FROM cells WHERE side = 'train' GROUP BY bucket) "
+        "SELECT side, doc_id, general, CAST(bucket AS INTEGER) AS bucket, round(value, 6) AS value FROM (SELECT *, tf * ln(((SELECT CAST(count(*) AS DOUBLE) FROM sides WHERE side = 'train') + 1) / "
+        "(coalesce(df, 0) + 1)) AS value FROM cells LEFT JOIN known USING (bucket)) WHERE value <> 0"
+    )
+    known = ", ".join(_lit(f"{a} {b}") for a, b in formulas.PHRASES)
+    out["clean_advanced_phrases"] = (
+        f"WITH {_TEXTS}, docs AS (SELECT doc_id, list_filter(string_split_regex(coalesce({_advanced('cmt')}, ''), {_lit(_BLANKS + '+')}), lambda w: w <> '') AS words FROM texts), "
+        f"flags AS (SELECT *, array_to_string(list_transform(range(1, len(words)), lambda i: CASE WHEN list_contains([{known}], words[i] || ' ' || words[i + 1]) THEN '1' ELSE '0' END), '') AS f FROM docs), "
+        "joined AS (SELECT doc_id, words, regexp_replace(f, '11', '10', 'g') AS hits FROM flags) "
+        "SELECT doc_id, array_to_string(list_transform(words, lambda w, i: w || CASE WHEN i = len(words) THEN '' "
+        "WHEN substr(hits, i, 1) = '1' THEN '_' ELSE ' ' END), '') AS cmt FROM joined"
+    )
+    out["score_fixed"] = f"WITH {_TEXTS}, {_fixed('mlp', _advanced)} SELECT doc_id, {_aspect_columns(lambda j, a: _sentence(f'p{j}'))} FROM guesses"
+    out["score_stream_fixed"] = out["score_fixed"]
+    inline = " UNION ALL ".join(f"SELECT CAST(NULL AS BIGINT), {_lit(t)}" for t in formulas.SENTENCES)
+    out["score_sentences"] = (
+        f"WITH {_TEXTS}, both_kinds AS (SELECT doc_id, cmt FROM texts UNION ALL {inline}), {_fixed('rnn', _basic, 'both_kinds')} "
+        f"SELECT doc_id, {_aspect_columns(lambda j, a: _sentence(f'p{j}'))} FROM guesses"
+    )
+    out["evaluate_fixed"] = _evaluated("gru", _basic)
+    out["compare_models_fixed"] = " UNION ALL ".join(
+        f"SELECT '{arch}-{mode}' AS slot, * FROM ({_evaluated(arch, clean)})"
+        for arch in formulas.HIDDEN for mode, clean in (("basic", _basic), ("advanced", _advanced))
+    )
+    coded = f"{_READERS}, {_fixed('lstm', _annotation, 'reviews')}, coded AS (SELECT doc_id AS id, " + ", ".join(
+        f"CASE WHEN p{j} <= -1.5 THEN 0 WHEN p{j} < -0.5 THEN 1 WHEN p{j} <= 0.5 THEN 2 ELSE 3 END AS n{j}" for j in _K
+    ) + " FROM guesses)"
+    fresh = [f"CASE n{j} WHEN 1 THEN 'negative' WHEN 2 THEN 'neutral' WHEN 3 THEN 'positive' END" for j in _K]
+    out["classify_fixed"] = f"{coded} SELECT id, " + ", ".join(f"n{j} AS {_q(a)}" for j, a in enumerate(ANNOTATION_ASPECTS)) + " FROM coded"
+    out["auto_label_all_fixed"] = f"{coded} SELECT id, " + ", ".join(f"{n} AS {_q(a)}" for n, a in zip(fresh, ANNOTATION_ASPECTS, strict=True)) + " FROM coded"
+    out["auto_label_some_fixed"] = (
+        f"{coded}, chosen AS (SELECT DISTINCT doc_id AS id FROM labels WHERE quality = 0) SELECT id, " + ", ".join(
+            f"CASE WHEN id IN (SELECT id FROM chosen) THEN {n} ELSE {old} END AS {_q(a)}"
+            for n, old, a in zip(fresh, _NAMES, ANNOTATION_ASPECTS, strict=True)
+        ) + " FROM a1 JOIN coded ON coded.id = a1.doc_id"
+    )
     out["gram_lexicon"] = f"{_grams(_basic)} SELECT word, n, cost FROM lexicon"
     out["segment_words"] = out["segment_words_joined"] = _segments(_basic)
     out["clean_advanced_words"] = _segments(_advanced)

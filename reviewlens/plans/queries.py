@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import CountVectorizerModel, Tokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from reviewlens.functions import labels as lb
 from reviewlens.functions import patterns as pt
 from reviewlens.functions import text as tx
 from reviewlens.operators import annotate, descent, metrics, phrases, rows, segment, terms, vectors
-from reviewlens.operators.features import feature_pipeline
+from reviewlens.operators.features import build_features, feature_pipeline
 from reviewlens.operators.lookup import attach_by_key
 from reviewlens.operators.net import AspectNet, AspectNetModel
 from reviewlens.operators.wordtables import ranked_vocabulary as ranked_words
@@ -21,6 +23,7 @@ from reviewlens.plans import formulas, jobs
 from reviewlens.schema import ANNOTATION_ASPECTS, ASPECTS
 from reviewlens.session import scratch_path
 from reviewlens.sources import annotations as an
+from reviewlens.sources import models
 from reviewlens.sources import reviews as rv
 from reviewlens.streaming.score import score_stream, write_scores
 
@@ -32,6 +35,7 @@ SEGMENT = {"least": 20, "threshold": 2.0}
 NET = {"hidden": [32], "maxEpoch": 2, "numPartitions": 8}
 MLP = {**NET, "hidden": [32, 16]}
 WIDTH = 256
+HASHED = 1000
 
 
 def query(fn: Query) -> Query:
@@ -465,6 +469,33 @@ def hashing_tf(spark, sf_dir):
     return hashed.transform(words).select("doc_id", total.cast("long").alias("n_words"))
 
 
+def _buckets(vector: str) -> Column:
+    """(bucket, value) of the entries that are not 0."""
+    return F.inline(F.filter(_sparse_cells(vector), lambda c: c["value"] != 0)).alias("bucket", "value")
+
+
+@query
+def hashed_counts(spark, sf_dir):
+    """Hashed term frequencies, bucket by bucket."""
+    words, hashed = feature_pipeline("tfidf", HASHED).getStages()[:2]
+    return hashed.transform(words.transform(_cleaned(spark, sf_dir))).select("doc_id", _buckets("rawFeatures"))
+
+
+@query
+def split_features(spark, sf_dir):
+    """Hashed tf-idf fitted on the training side only; vectors and labels of both sides."""
+    cleaned = rows.clean_reviews(dv.reviews(spark, sf_dir), "basic", keep=["doc_id"])
+    _, train, test = build_features(*rows.split_reviews(cleaned, 0.8, 50, "doc_id"), feature_pipeline("tfidf", HASHED), ("doc_id",))
+    both = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    cells = both.select("side", "doc_id", F.element_at("label", 1).alias("general"), _buckets("features"))
+    return cells.withColumn("value", F.round("value", 6))
+
+
+@query
+def clean_advanced_phrases(spark, sf_dir):
+    return dv.texts(spark, sf_dir).select("doc_id", tx.clean_text("cmt", "advanced", dv.RULES, formulas.PHRASES).alias("cmt"))
+
+
 @query
 def tfidf_vectors(spark, sf_dir):
     table = _cleaned(spark, sf_dir)
@@ -708,3 +739,84 @@ def auto_label_some(spark, sf_dir):
     table, features, net = _annotator(spark, sf_dir)
     ids = dv.table(spark, sf_dir, "labels").filter(F.col("quality") == 0).select(F.col("doc_id").alias("id"))
     return annotate.auto_label(table, features, net, ids=ids).drop("review")
+
+
+# --- jobs with fixed models, whose results SQL can give -----------------------------------------
+
+
+def _fixed_features() -> PipelineModel:
+    counts = CountVectorizerModel.from_vocabulary(list(formulas.VOCABULARY), inputCol="words", outputCol="features_vec")
+    return PipelineModel([
+        Tokenizer(inputCol="cmt", outputCol="words"), counts, VectorAssembler(inputCols=["features_vec"], outputCol="features")
+    ])
+
+
+def _fixed_net(arch: str) -> AspectNetModel:
+    net = AspectNetModel(formulas.model_weights(arch))
+    net._set(arch=arch, hidden=list(formulas.HIDDEN[arch]))
+    return net
+
+
+@query
+def score_fixed(spark, sf_dir):
+    """Every text scored by a fixed network over word counts."""
+    return jobs.score(dv.texts(spark, sf_dir), _fixed_features(), _fixed_net("mlp"), jobs.Prep("advanced", acronyms=dv.RULES), ["doc_id"])
+
+
+@query
+def score_stream_fixed(spark, sf_dir):
+    """The same network over texts that arrive as files."""
+    source, out, mark = (scratch_path(spark, n) for n in ("texts", "scores", "scores-checkpoint"))
+    dv.texts(spark, sf_dir).write.parquet(source)
+    stream = spark.readStream.schema("doc_id long, cmt string").parquet(source)
+    prep = jobs.Prep("advanced", acronyms=dv.RULES)
+    write_scores(score_stream(stream, _fixed_features(), _fixed_net("mlp"), prep, ["doc_id"]), out, mark).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def score_sentences(spark, sf_dir):
+    """Sentences written inline, followed by those of a table, through the sentence job."""
+    inline = rv.sentences_df(spark, list(formulas.SENTENCES)).withColumn("doc_id", F.lit(None).cast("long"))
+    table = inline.unionByName(dv.texts(spark, sf_dir))
+    return jobs.score(table, _fixed_features(), _fixed_net("rnn"), jobs.Prep("basic"), ["doc_id"])
+
+
+@query
+def evaluate_fixed(spark, sf_dir):
+    return jobs.evaluate(dv.reviews(spark, sf_dir), _fixed_features(), _fixed_net("gru"), jobs.Prep("basic"))
+
+
+def _fixed_slots(spark: SparkSession) -> dict[str, jobs.Slot]:
+    """Stored slots: every network under both cleaners."""
+    features = scratch_path(spark, "features")
+    models.save_features(_fixed_features(), features)
+    slots = {}
+    for arch in formulas.HIDDEN:
+        net = scratch_path(spark, "net")
+        models.save_net(_fixed_net(arch), net)
+        slots[f"{arch}-basic"] = jobs.Slot(features, net, jobs.Prep("basic"))
+        slots[f"{arch}-advanced"] = jobs.Slot(features, net, jobs.Prep("advanced", acronyms=dv.RULES))
+    return slots
+
+
+@query
+def compare_models_fixed(spark, sf_dir):
+    return jobs.compare_models(dv.reviews(spark, sf_dir), _fixed_slots(spark))
+
+
+@query
+def classify_fixed(spark, sf_dir):
+    codes = annotate.classify(dv.annotated(spark, sf_dir), _fixed_features(), _fixed_net("lstm"), keep=["id"])
+    return codes.select("id", *[F.get("codes", F.lit(i)).alias(a) for i, a in enumerate(ANNOTATION_ASPECTS)])
+
+
+@query
+def auto_label_all_fixed(spark, sf_dir):
+    return annotate.auto_label(dv.annotated(spark, sf_dir), _fixed_features(), _fixed_net("lstm")).drop("review")
+
+
+@query
+def auto_label_some_fixed(spark, sf_dir):
+    ids = dv.table(spark, sf_dir, "labels").filter(F.col("quality") == 0).select(F.col("doc_id").alias("id"))
+    return annotate.auto_label(dv.annotated(spark, sf_dir), _fixed_features(), _fixed_net("lstm"), ids=ids).drop("review")
