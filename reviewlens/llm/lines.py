@@ -20,6 +20,7 @@ from reviewlens.session import cut_lineage
 
 _BLANKS = " \t\r\x0b\x0c"
 MARKS = 1 << 20
+_SUM = (1 << 62) - 1
 MIN_WORDS = 8  # shorter lines are compared as they are: one word would be too much of them
 
 
@@ -40,6 +41,21 @@ def _xor(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
 
 
+def _sum(values: Column) -> Column:
+    """Sum modulo 2^62, which, other than an exclusive or, does not cancel values that occur twice."""
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: (a + x.bitwiseAND(_SUM)).bitwiseAND(_SUM))
+
+
+def shorter_keys(words: Column) -> tuple[Column, Column]:
+    """A key of a word array (the sum of its words' hashes), and those of the array without any one of its words.
+    Equal arrays have equal keys; others hardly ever, unless they hold the same words in another order."""
+    n = F.size(words)
+    loose = F.transform(words, lambda w: F.xxhash64(w))
+    whole = _sum(loose)
+    without = F.transform(loose, lambda x: F.xxhash64(n - 1, (whole - x.bitwiseAND(_SUM)).bitwiseAND(_SUM)))
+    return F.xxhash64(n, whole), F.array_distinct(without)
+
+
 def _half_keys(words: Column) -> Column:
     """Hashes of the first and last m words, m for partners as long as the line and one shorter or longer;
     words: with one space between them. Null for lines below the minimum."""
@@ -108,20 +124,19 @@ def decided(docs: DataFrame, minimum: int = MIN_WORDS) -> DataFrame:
     suspects = suspects.join(texts, (F.col("h") == F.col("own")) & (F.col("first") == F.col("place")))
     suspects = cut_lineage(suspects.dropDuplicates(["h"]).select("h", "first", F.split("words", " ").alias("words")))
 
-    # Variants: the words without word i. Sums by exclusive or make each one constant work.
+    # Variants: the words without word i. Sums of hashes make each one constant work.
     n = F.size("words")
     variants = suspects.withColumn("placed", F.transform("words", lambda w, i: F.xxhash64(w, i)))
-    variants = variants.withColumn("loose", F.transform("words", lambda w: F.xxhash64(w)))
-    variants = variants.withColumn("all_placed", _xor(F.col("placed"))).withColumn("all_loose", _xor(F.col("loose")))
+    variants = variants.withColumn("all_placed", _xor(F.col("placed")))
     replaced = F.transform("placed", lambda x, i: F.xxhash64(n, i, F.col("all_placed").bitwiseXOR(x)))
-    shorter = F.array_distinct(F.transform("loose", lambda x: F.xxhash64(n - 1, F.col("all_loose").bitwiseXOR(x))))
+    whole, shorter = shorter_keys(F.col("words"))
 
     by_replaced = variants.select("h", "first", F.explode(replaced).alias("key"))
     earliest = by_replaced.groupBy("key").agg(F.min(F.struct("first", "h")).alias("best"), F.max("h").alias("high"), F.min("h").alias("low"))
     earliest = earliest.filter("low < high").select("key", "best")
     pairs = by_replaced.join(earliest, "key").filter(F.col("best.first") < F.col("first")).select("h", F.col("best.h").alias("other"))
     by_shorter = variants.select("h", "first", F.explode(shorter).alias("key"))
-    itself = variants.select(F.col("h").alias("other"), F.col("first").alias("other_first"), F.xxhash64(n, "all_loose").alias("key"))
+    itself = variants.select(F.col("h").alias("other"), F.col("first").alias("other_first"), whole.alias("key"))
     apart = by_shorter.join(itself, "key")
     later, earlier = F.col("other_first") < F.col("first"), F.col("first") < F.col("other_first")
     pairs = pairs.union(apart.filter(later).select("h", "other")).union(apart.filter(earlier).select(F.col("other").alias("h"), F.col("h").alias("other")))
