@@ -108,8 +108,8 @@ def _cluster(v: np.ndarray, k: int) -> np.ndarray:
 def fit(docs: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE, margin: float = MARGIN) -> Model:
     """Learn from ``docs`` (doc_id, text, lang). Rows without language, text or letters teach nothing.
 
-    Document frequencies cover all rows. Each language is clustered in one task, over about ``sample``
-    of its texts chosen by a hash of text and doc_id, however many it has. What reaches the driver is WIDTH
+    Document frequencies cover all rows, repeated ones each time. Each language is clustered in one task, over at most about
+    ``sample`` of its distinct texts chosen by a hash of the text, however many rows it has. What reaches the driver is WIDTH
     numbers per centroid.
     """
     rows = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
@@ -138,8 +138,8 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE, margi
     if not per_lang:
         return Model(idf, [], np.zeros((0, WIDTH), np.float32), np.zeros(64))
     of_lang = F.create_map(*(F.lit(x) for r in per_lang for x in (r["lang"], r["count"])))
-    share = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_003)) / 1_000_003
-    chosen = rows.filter(share * of_lang[F.col("lang")] < sample).select("lang", "text")
+    share = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
+    chosen = rows.filter(share * of_lang[F.col("lang")] < sample).select("lang", "text").distinct()
 
     def cluster(table: pa.Table) -> pa.Table:
         found = [f for _, _, f, _ in counts(table.column("text"))]
