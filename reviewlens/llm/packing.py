@@ -64,7 +64,8 @@ def place(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
 
 def pack(examples: DataFrame, order: list[str], tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, shard: int = SHARD) -> DataFrame:
-    """``examples`` (length, loss_tokens, lane and any others) with sequence_id and offset.
+    """``examples`` (length, loss_tokens, lane and any others) with sequence_id and offset, which replace carried
+    columns of these names.
 
     Offsets are gapless from 0 in each sequence. ``order`` names columns that, with length, make the
     result repeatable; ``lane`` spreads equal rows over shards. No row is dropped; an example
@@ -73,7 +74,10 @@ def pack(examples: DataFrame, order: list[str], tokens: int = TOKENS, segments:
     n = examples.count()
     shards = max(1, -(-n // shard))
     limits = np.array([tokens, segments, tokens if loss is None else loss], np.int64)
-    columns = [c for c in examples.columns if c != "lane"]
+    columns = [c for c in examples.columns if c.lower() not in ("lane", "sequence_id", "offset")]
+    group = "shard"
+    while group in map(str.lower, examples.columns):
+        group += "_"
 
     def run(table: pa.Table) -> pa.Table:
         keys = [("length", "descending"), *((c, "ascending") for c in order)]
@@ -84,13 +88,13 @@ def pack(examples: DataFrame, order: list[str], tokens: int = TOKENS, segments:
         table, number = table.take(pa.array(at)), number[at]
         ends = length[at].cumsum()
         begins = ends - length[at]
-        sequence = (table["shard"].to_numpy().astype(np.int64) << 32) + number
+        sequence = (table[group].to_numpy().astype(np.int64) << 32) + number
         offset = begins - begins[np.searchsorted(number, number)]
         return table.select(columns).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in examples.schema if f.name != "lane")
-    placed = examples.withColumn("shard", F.pmod(F.xxhash64("lane", *order), F.lit(shards)).cast("int"))
-    return placed.groupBy("shard").applyInArrow(run, f"{kinds}, sequence_id long, offset long")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in examples.select(*columns).schema)
+    placed = examples.select(*columns, F.pmod(F.xxhash64("lane", *order), F.lit(shards)).cast("int").alias(group))
+    return placed.groupBy(group).applyInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
 def pieces(docs: DataFrame, tokens: int = TOKENS, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:

@@ -78,3 +78,13 @@ def test_documents_round_trip(spark):
     used = sum(r.length for r in out)
     assert used > 0.97 * 512 * (len(sequences) - 1)
     assert packing.packed_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_carried_columns_with_clashing_names(spark):
+    rows = [(k % 7, 100 + k, 50, k, "x", "a b", 5, -1, 9) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, length long, loss_tokens long, lane long, shard string, `a b` string, offset long, sequence_id long, start long")
+    out = packing.pack(frame, ["doc_id", "start"], tokens=400)
+    assert out.columns == ["doc_id", "length", "loss_tokens", "shard", "a b", "start", "sequence_id", "offset"]
+    found = out.collect()
+    assert len(found) == 40 and {r.shard for r in found} == {"x"} and min(r.sequence_id for r in found) == 0
+    assert packing.pack(frame.limit(0), ["doc_id"], tokens=400).collect() == []
