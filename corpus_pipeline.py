@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import decontaminate, jaccard, language, lines, packing
-from reviewlens.session import scratch_path
+from reviewlens.session import cut_lineage, scratch_path
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +36,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates (five-word shingles, 80 percent) the document with the smallest doc_id stays.
+    """Of every group of near duplicates (five-word shingles, 80 percent) the row with the smallest doc_id stays.
 
-    Documents without a doc_id or words are in no group and stay.
+    Decided by row: of repeated rows one stays, and rows that share a doc_id but not their text are told apart. A null
+    doc_id counts last; of rows with equal doc_id in one group any one stays. Rows without words are in no group and stay.
     """
-    classes = jaccard.classes(docs, words=5, percent=80)
-    copies = classes.filter((F.col("component_id") < F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    # The numbers are written with the rows, so that they do not change if a task runs again.
+    rows = cut_lineage(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")))
+    classes = jaccard.classes(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), words=5, percent=80)
+    grouped = classes.filter("n_shingles > 0").select(F.col("doc_id").alias("number"), "component_id")
+    # Only groups of more than one row need their doc_ids.
+    several = grouped.groupBy("component_id").count().filter("count > 1").select("component_id")
+    members = cut_lineage(grouped.join(several, "component_id", "left_semi"))
+    ids = rows.select("number", F.col("row.doc_id").isNull().alias("unnamed"), "row.doc_id")
+    first = members.join(ids, "number").groupBy("component_id").agg(F.min(F.struct("unnamed", "doc_id", "number")).alias("first"))
+    copies = members.join(first.select(F.col("first.number").alias("number")), "number", "left_anti").select("number")
+    return rows.join(copies, "number", "left_anti").select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
