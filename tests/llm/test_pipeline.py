@@ -64,3 +64,12 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], COLUMNS)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, sf).collect() == []
+
+
+def test_near_duplicates_are_decided_by_row(spark, tmp_path):
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"{n}{rng.randrange(900)}" for _ in range(60)) for n in "abc")
+    rows = [(5, a), (5, a), (5, a), (None, a), (7, b), (5, b + " more"), (8, c), (8, "other"), (None, c), (None, "x y"), (9, None), (9, None), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS).repartition(3)
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in cp.near_duplicate_stage(spark, docs, "").collect()))
+    assert kept == sorted([(5, a), (5, b + " more"), (8, c), (8, "other"), (0, "x y"), (9, ""), (9, ""), (10, "")])
