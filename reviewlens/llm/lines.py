@@ -46,14 +46,17 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: (a + x.bitwiseAND(_SUM)).bitwiseAND(_SUM))
 
 
-def shorter_keys(words: Column) -> tuple[Column, Column]:
-    """A key of a word array (the sum of its words' hashes), and those of the array without any one of its words.
-    Equal arrays have equal keys; others hardly ever, unless they hold the same words in another order."""
-    n = F.size(words)
-    loose = F.transform(words, lambda w: F.xxhash64(w))
-    whole = _sum(loose)
-    without = F.transform(loose, lambda x: F.xxhash64(n - 1, (whole - x.bitwiseAND(_SUM)).bitwiseAND(_SUM)))
-    return F.xxhash64(n, whole), F.array_distinct(without)
+def words_sum(words: Column) -> Column:
+    """The sum of the hashes of a word array. Equal for equal arrays, and hardly ever for others, unless they hold the
+    same words in another order."""
+    return _sum(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def shorter_keys(words: Column, whole: Column) -> Column:
+    """Keys of a word array without any one of its words. ``whole``, its sum, is a column of its own, since an expression
+    would be evaluated for every word."""
+    without = F.transform(words, lambda w: (whole - F.xxhash64(w).bitwiseAND(_SUM)).bitwiseAND(_SUM))
+    return F.array_distinct(F.transform(without, lambda x: F.xxhash64(F.size(words) - 1, x)))
 
 
 def _half_keys(words: Column) -> Column:
@@ -127,16 +130,16 @@ def decided(docs: DataFrame, minimum: int = MIN_WORDS) -> DataFrame:
     # Variants: the words without word i. Sums of hashes make each one constant work.
     n = F.size("words")
     variants = suspects.withColumn("placed", F.transform("words", lambda w, i: F.xxhash64(w, i)))
-    variants = variants.withColumn("all_placed", _xor(F.col("placed")))
+    variants = variants.withColumn("all_placed", _xor(F.col("placed"))).withColumn("all_loose", words_sum(F.col("words")))
     replaced = F.transform("placed", lambda x, i: F.xxhash64(n, i, F.col("all_placed").bitwiseXOR(x)))
-    whole, shorter = shorter_keys(F.col("words"))
+    shorter = shorter_keys(F.col("words"), F.col("all_loose"))
 
     by_replaced = variants.select("h", "first", F.explode(replaced).alias("key"))
     earliest = by_replaced.groupBy("key").agg(F.min(F.struct("first", "h")).alias("best"), F.max("h").alias("high"), F.min("h").alias("low"))
     earliest = earliest.filter("low < high").select("key", "best")
     pairs = by_replaced.join(earliest, "key").filter(F.col("best.first") < F.col("first")).select("h", F.col("best.h").alias("other"))
     by_shorter = variants.select("h", "first", F.explode(shorter).alias("key"))
-    itself = variants.select(F.col("h").alias("other"), F.col("first").alias("other_first"), whole.alias("key"))
+    itself = variants.select(F.col("h").alias("other"), F.col("first").alias("other_first"), F.xxhash64(n, "all_loose").alias("key"))
     apart = by_shorter.join(itself, "key")
     later, earlier = F.col("other_first") < F.col("first"), F.col("first") < F.col("other_first")
     pairs = pairs.union(apart.filter(later).select("h", "other")).union(apart.filter(earlier).select(F.col("other").alias("h"), F.col("h").alias("other")))
