@@ -485,7 +485,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT '{arch}-{mode}' AS slot, * FROM ({_evaluated(arch, clean)})"
         for arch in formulas.HIDDEN for mode, clean in (("basic", _basic), ("advanced", _advanced))
     )
-    coded = f"{_READERS}, {_fixed('lstm', _annotation, 'reviews')}, coded AS (SELECT doc_id AS id, " + ", ".join(
+    coded = f"{_READERS}, {_fixed('mlp', _annotation, 'reviews')}, coded AS (SELECT doc_id AS id, " + ", ".join(
         f"CASE WHEN p{j} <= -1.5 THEN 0 WHEN p{j} < -0.5 THEN 1 WHEN p{j} <= 0.5 THEN 2 ELSE 3 END AS n{j}" for j in _K
     ) + " FROM guesses)"
     fresh = [f"CASE n{j} WHEN 1 THEN 'negative' WHEN 2 THEN 'neutral' WHEN 3 THEN 'positive' END" for j in _K]

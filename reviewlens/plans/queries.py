@@ -807,16 +807,16 @@ def compare_models_fixed(spark, sf_dir):
 
 @query
 def classify_fixed(spark, sf_dir):
-    codes = annotate.classify(dv.annotated(spark, sf_dir), _fixed_features(), _fixed_net("lstm"), keep=["id"])
+    codes = annotate.classify(dv.annotated(spark, sf_dir), _fixed_features(), _fixed_net("mlp"), keep=["id"])
     return codes.select("id", *[F.get("codes", F.lit(i)).alias(a) for i, a in enumerate(ANNOTATION_ASPECTS)])
 
 
 @query
 def auto_label_all_fixed(spark, sf_dir):
-    return annotate.auto_label(dv.annotated(spark, sf_dir), _fixed_features(), _fixed_net("lstm")).drop("review")
+    return annotate.auto_label(dv.annotated(spark, sf_dir), _fixed_features(), _fixed_net("mlp")).drop("review")
 
 
 @query
 def auto_label_some_fixed(spark, sf_dir):
     ids = dv.table(spark, sf_dir, "labels").filter(F.col("quality") == 0).select(F.col("doc_id").alias("id"))
-    return annotate.auto_label(dv.annotated(spark, sf_dir), _fixed_features(), _fixed_net("lstm"), ids=ids).drop("review")
+    return annotate.auto_label(dv.annotated(spark, sf_dir), _fixed_features(), _fixed_net("mlp"), ids=ids).drop("review")
