@@ -59,14 +59,17 @@ def shorter_keys(words: Column, whole: Column) -> Column:
     return F.array_distinct(F.transform(without, lambda x: F.xxhash64(F.size(words) - 1, x)))
 
 
-def _half_keys(words: Column) -> Column:
+def _half_keys(words: Column, n: Column) -> Column:
     """Hashes of the first and last m words, m for partners as long as the line and one shorter or longer;
-    words: with one space between them. Null for lines below the minimum."""
-    n = _n_words(words)
-    keys = []
-    for m in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
-        keys += [F.xxhash64(F.lit(1), m, F.call_function("substring_index", words, F.lit(" "), m)), F.xxhash64(F.lit(2), m, F.call_function("substring_index", words, F.lit(" "), -m))]
-    return F.array_distinct(F.array(*keys))
+    words: with one space between them. ``n``, their number, is a column of its own: an expression would be evaluated
+    for every key."""
+
+    def ends(m: Column) -> list[Column]:
+        return [F.xxhash64(F.lit(side), m, F.call_function("substring_index", words, F.lit(" "), sign * m)) for side, sign in ((1, 1), (2, -1))]
+
+    half = F.shiftright(n, 1)
+    # Of an odd number of words both halves are equally long.
+    return F.when(n.bitwiseAND(1) == 1, F.array(*ends(half))).otherwise(F.array(*ends(half), *ends(half - 1)))
 
 
 def _n_words(words: Column) -> Column:
@@ -114,8 +117,8 @@ def decided(docs: DataFrame, minimum: int = MIN_WORDS) -> DataFrame:
     """
     found = occurrences(docs)
     place = F.struct("doc_id", "at")
-    halves = F.when(_n_words(F.col("words")) >= minimum, _half_keys(F.col("words")))
-    keyed = found.select("doc_id", "at", "h", halves.alias("halves"))
+    halves = F.when(F.col("n") >= minimum, _half_keys(F.col("words"), F.col("n")))
+    keyed = found.withColumn("n", _n_words(F.col("words"))).select("doc_id", "at", "h", halves.alias("halves"))
     first = cut_lineage(keyed.groupBy("h").agg(F.min(place).alias("first"), F.first("halves").alias("halves")))
 
     # Lines with a half that another line has too.
