@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.functions import patterns as pt
+from reviewlens.functions.rules import apply_dictionary
 
 # Above this many rules one expression per rule makes a method too long for the JIT compiler.
 _NESTED_RULE_LIMIT = 100
@@ -64,14 +65,16 @@ def strip_special(c: Column | str, chars: str = pt.SPECIAL_TRAINING, to: str = "
 
 
 def apply_rules(c: Column | str, rules: Iterable[tuple[str, str]]) -> Column:
-    """Plain substring replacements ``(written, wanted)``, one after the other."""
-    c, rules = _col(c), list(rules)
-    if len(rules) <= _NESTED_RULE_LIMIT:
-        for written, wanted in rules:
-            c = F.replace(c, F.lit(written), F.lit(wanted))
-        return c
-    pairs = F.array(*[F.struct(F.lit(w).alias("src"), F.lit(x).alias("dst")) for w, x in rules])
-    return F.aggregate(pairs, c, lambda acc, rule: F.replace(acc, rule["src"], rule["dst"]))
+    """Plain substring replacements ``(written, wanted)``, one after the other.
+
+    Lists of up to 100 become one expression per rule; longer ones go to ``functions.rules``, with the same result.
+    """
+    c, rules = _col(c), [(written, wanted) for written, wanted in rules if written]
+    if len(rules) > _NESTED_RULE_LIMIT:
+        return apply_dictionary(c, rules)
+    for written, wanted in rules:
+        c = F.replace(c, F.lit(written), F.lit(wanted))
+    return c
 
 
 def merge_rules(acronyms: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:

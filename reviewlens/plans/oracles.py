@@ -5,7 +5,7 @@ from __future__ import annotations
 from reviewlens.functions import patterns as pt
 from reviewlens.plans import derived as dv
 from reviewlens.plans import formulas
-from reviewlens.plans.queries import HASHED, PHRASE_THRESHOLD, SEGMENT
+from reviewlens.plans.queries import BEGINNINGS, HASHED, PHRASE_THRESHOLD, SEGMENT
 from reviewlens.schema import ANNOTATION_ASPECTS, ASPECTS, SENTIMENTS
 
 _K = range(len(ASPECTS))
@@ -298,6 +298,14 @@ def oracle_sql() -> dict[str, str]:
         lambda j, a: f"nullif({a}, 'nan')"
     ) + " FROM reviews"
     cells = ", ".join(dv.ACRONYMS.values())
+    out["large_dictionary"] = (
+        f"WITH {_TEXTS}, words AS (SELECT unnest(string_split(text, ' ')) AS word FROM documents), "
+        "found AS (SELECT word[1:5] AS src FROM words WHERE regexp_full_match(word, '[a-z]{6,}') GROUP BY 1 "
+        f"HAVING count(*) >= {BEGINNINGS}), "
+        "rules AS (SELECT list({'a': src, 'b': reverse(src[1:3]) || src[4:5]} ORDER BY src) AS held FROM found) "
+        "SELECT doc_id, list_reduce(list_prepend({'a': cmt, 'b': ''}, coalesce(held, [])), "
+        "lambda x, y: {'a': replace(x.a, y.a, y.b), 'b': ''}).a AS cmt FROM texts, rules"
+    )
     out["acronym_rules"] = (
         f"WITH cells AS (SELECT p_partkey AS pos, list_filter([{cells}], lambda v: length(v) >= 3) AS c FROM part) "
         "SELECT min(pos) AS pos, arg_max(c[1], pos) AS src, c[2] AS dst FROM cells WHERE len(c) = 2 GROUP BY c[2]"

@@ -36,6 +36,7 @@ NET = {"hidden": [32], "maxEpoch": 2, "numPartitions": 8}
 MLP = {**NET, "hidden": [32, 16]}
 WIDTH = 256
 HASHED = 1000
+BEGINNINGS = 20
 
 
 def query(fn: Query) -> Query:
@@ -72,6 +73,15 @@ _text_query("clean_advanced", lambda c: tx.clean_text(c, "advanced", dv.RULES))
 _text_query("clean_annotation", tx.clean_annotation)
 
 
+@query
+def large_dictionary(spark, sf_dir):
+    """Texts after a dictionary of all frequent beginnings of words, whose results hold one another's written forms."""
+    words = dv.table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).filter(F.col("word").rlike("^[a-z]{6,}$"))
+    found = words.groupBy(F.substring("word", 1, 5).alias("src")).count().filter(f"count >= {BEGINNINGS}")
+    rules = found.select(F.col("src").alias("pos"), "src", F.concat(F.reverse(F.substring("src", 1, 3)), F.substring("src", 4, 2)).alias("dst"))
+    return dv.texts(spark, sf_dir).select("doc_id", tx.apply_rules("cmt", rv.collect_rules(rules)).alias("cmt"))
+
+
 # --- sources and sinks -----------------------------------------------------------------------
 
 
