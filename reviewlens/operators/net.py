@@ -8,7 +8,7 @@ the driver ever receives all replicas. Only the averaged weights return.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -248,6 +248,35 @@ class AspectNet(_NetParams, Estimator, DefaultParamsReadable, DefaultParamsWrita
         return self._copyValues(AspectNetModel(weights, history))
 
 
+def _outputs(arch: str, w: kn.Weights, vectors: pa.Array) -> np.ndarray:
+    rows = kn.Rows(vectors)
+    out = np.empty((len(rows), w["bo"].shape[0]), np.float32)
+    # Small blocks bound the dense input of one matrix product.
+    for start in range(0, len(rows), 256):
+        pick = np.arange(start, min(start + 256, len(rows)))
+        out[pick] = kn.forward(arch, w, *rows.batch(pick))[0]
+    return out
+
+
+def predict_by_name(spark: SparkSession, nets: Mapping[str, AspectNetModel]):
+    """A function of (name, unwrapped vector): the output of the network of that name; null for a null name. A task loads only the
+    networks that its rows name."""
+    shared = {name: (net.getArch(), spark.sparkContext.broadcast(net.weights)) for name, net in nets.items()}
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def predict(names: pa.Array, vectors: pa.Array) -> pa.Array:
+        names = names.to_pylist()
+        out: list[np.ndarray | None] = [None] * len(names)
+        for name in sorted({n for n in names if n is not None}):
+            at = [i for i, n in enumerate(names) if n == name]
+            arch, weights = shared[name]
+            for i, values in zip(at, _outputs(arch, weights.value, vectors.take(pa.array(at))), strict=True):
+                out[i] = values
+        return pa.array(out, pa.list_(pa.float32()))
+
+    return predict
+
+
 class AspectNetModel(_NetParams, Model, MLWritable, MLReadable):
     """Adds ``prediction`` (array<float>); works on tables and streams alike."""
 
@@ -264,14 +293,8 @@ class AspectNetModel(_NetParams, Model, MLWritable, MLReadable):
 
         @F.arrow_udf(T.ArrayType(T.FloatType()))
         def predict(vectors: pa.Array) -> pa.Array:
-            rows, w = kn.Rows(vectors), shared.value
-            n_out = w["bo"].shape[0]
-            out = np.empty((len(rows), n_out), np.float32)
-            # Small blocks bound the dense input of one matrix product.
-            for start in range(0, len(rows), 256):
-                pick = np.arange(start, min(start + 256, len(rows)))
-                out[pick] = kn.forward(arch, w, *rows.batch(pick))[0]
-            offsets = np.arange(0, out.size + 1, n_out, dtype=np.int32)
+            out = _outputs(arch, shared.value, vectors)
+            offsets = np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
 
         return df.withColumn(

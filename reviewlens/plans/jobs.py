@@ -14,7 +14,7 @@ from reviewlens.functions import text as tx
 from reviewlens.operators import annotate, metrics
 from reviewlens.operators.features import build_features, feature_pipeline
 from reviewlens.operators.phrases import learn_phrases
-from reviewlens.operators.net import AspectNet, AspectNetModel
+from reviewlens.operators.net import AspectNet, AspectNetModel, predict_by_name
 from reviewlens.operators.rows import clean_reviews, clean_sentences, sentence_result, split_reviews
 from reviewlens.operators.segment import THRESHOLD, learn_lexicon, segment
 from reviewlens.schema import ANNOTATION_ASPECTS, ASPECTS
@@ -203,6 +203,42 @@ def compare_models(reviews: DataFrame, slots: Mapping[str, Slot], overall: bool
     return (metrics.accuracy_report if overall else metrics.aspect_correct)(flat, by=["slot"])
 
 
+# Weights of all slots together, in bytes, that may go to a task.
+SLOT_WEIGHTS = 1 << 30
+
+
+def score_slots(df: DataFrame, slots: Mapping[str, Slot], slot: str = "slot", keep: Sequence[str] = ()) -> DataFrame:
+    """``score`` where every row names its stored slot in column ``slot``; for tables and streams alike.
+
+    The table is read once and not shuffled. A text is cleaned only by its own slot's rules, meets only its own network, and passes the
+    other feature pipelines as empty text. A null slot gives nulls; an unknown one raises and is named. Weights of more than
+    ``SLOT_WEIGHTS`` bytes in all are refused.
+    """
+    nets = {name: load_net(s.net_path) for name, s in slots.items()}
+    size = sum(w.nbytes for net in nets.values() for w in net.weights.values())
+    if size > SLOT_WEIGHTS:
+        raise ValueError(f"the slots' networks hold {size} bytes, more than {SLOT_WEIGHTS}")
+    wrong = F.raise_error(F.concat(F.lit("unknown slot: "), F.col(slot)))
+    named = F.when(F.col(slot).isNull() | F.col(slot).isin(*nets), F.col(slot)).otherwise(wrong)
+    kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
+    rows = df.select(*kept, named.alias("_slot"), F.col("cmt").alias("_raw"))
+    base, uses = rows.columns, []
+    for s in slots.values():
+        if all((s.prep, s.features_path) != (u.prep, u.features_path) for u in uses):
+            uses.append(s)
+    vector = None
+    for i, use in enumerate(uses):
+        mine = F.col("_slot").isin(*[n for n, s in slots.items() if (s.prep, s.features_path) == (use.prep, use.features_path)])
+        p = use.prep
+        rows = rows.withColumn("cmt", F.when(mine, tx.clean_text("_raw", p.mode, p.acronyms, p.phrases, p.missing_text)).otherwise(""))
+        rows = load_features(use.features_path).transform(p.words(rows)).select(*base, F.col("features").alias(f"_features{i}"))
+        base = rows.columns
+        vector = (F if vector is None else vector).when(mine, F.col(f"_features{i}"))
+    scored = rows.withColumn("features", vector).withColumn("prediction", predict_by_name(df.sparkSession, nets)("_slot", F.unwrap_udt("features")))
+    scored = scored.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], "prediction")
+    return sentence_result(scored, keep=keep)
+
+
 def compare_annotators(
     annotations: DataFrame, a: str, b: str, gold: str, key: str = "rec",
     aspects: Sequence[str] = ANNOTATION_ASPECTS,

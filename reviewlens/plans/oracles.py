@@ -488,6 +488,12 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {_TEXTS}, both_kinds AS (SELECT doc_id, cmt FROM texts UNION ALL {inline}), {_fixed('rnn', _basic, 'both_kinds')} "
         f"SELECT doc_id, {_aspect_columns(lambda j, a: _sentence(f'p{j}'))} FROM guesses"
     )
+    dealt = sorted(f"{arch}-{mode}" for arch in formulas.HIDDEN for mode in ("basic", "advanced"))
+    out["score_slots_fixed"] = " UNION ALL ".join(
+        f"SELECT * FROM (WITH {_TEXTS}, mine AS (SELECT doc_id, cmt FROM texts WHERE doc_id % {len(dealt)} = {dealt.index(f'{arch}-{mode}')}), "
+        f"{_fixed(arch, clean, 'mine')} SELECT doc_id, '{arch}-{mode}' AS slot, {_aspect_columns(lambda j, a: _sentence(f'p{j}'))} FROM guesses)"
+        for arch in formulas.HIDDEN for mode, clean in (("basic", _basic), ("advanced", _advanced))
+    )
     out["evaluate_fixed"] = _evaluated("gru", _basic)
     out["compare_models_fixed"] = " UNION ALL ".join(
         f"SELECT '{arch}-{mode}' AS slot, * FROM ({_evaluated(arch, clean)})"

@@ -815,6 +815,18 @@ def compare_models_fixed(spark, sf_dir):
     return jobs.compare_models(dv.reviews(spark, sf_dir), _fixed_slots(spark))
 
 
+def _dealt(texts: DataFrame, slots) -> DataFrame:
+    """Every text with one of the slots by its doc_id."""
+    return texts.withColumn("slot", F.get(F.array(*map(F.lit, sorted(slots))), (F.col("doc_id") % len(slots)).cast("int")))
+
+
+@query
+def score_slots_fixed(spark, sf_dir):
+    """Every text scored by the stored slot that its row names."""
+    slots = _fixed_slots(spark)
+    return jobs.score_slots(_dealt(dv.texts(spark, sf_dir), slots), slots, keep=["doc_id", "slot"])
+
+
 @query
 def classify_fixed(spark, sf_dir):
     codes = annotate.classify(dv.annotated(spark, sf_dir), _fixed_features(), _fixed_net("mlp"), keep=["id"])

@@ -50,6 +50,35 @@ def test_compare_models_equals_evaluate(reviews, trained, tmp_path):
         assert sorted(table.filter(F.col("slot") == name).drop("slot").collect()) == sorted(want.collect())
 
 
+def test_slot_per_row_equals_slot_by_slot(spark, reviews, trained, tmp_path):
+    """Other cleaning, features and width in each slot; tables and streams, null and unknown slots, no rows."""
+    done, paths = trained
+    other = {"features_path": str(tmp_path / "f"), "net_path": str(tmp_path / "n")}
+    basic = jobs.Prep("basic")
+    second = jobs.train(reviews, "mlp", "wordcount", 50, basic, hidden=[8, 4], maxEpoch=1, numPartitions=2, **other)
+    slots = {"one": jobs.Slot(**paths), "two": jobs.Slot(**other, prep=basic)}
+    rows = reviews.select("doc_id", "cmt", F.get(F.array(F.lit("one"), F.lit("two"), F.lit(None)), (F.col("doc_id") % 3).cast("int")).alias("slot"))
+    got = jobs.score_slots(rows, slots, keep=["doc_id", "slot"])
+    for name, fit, prep in (("one", done, None), ("two", second, basic)):
+        want = jobs.score(rows.filter(F.col("slot") == name), fit.features, fit.net, prep, ["doc_id", "slot"])
+        assert sorted(got.filter(F.col("slot") == name).collect()) == sorted(want.collect())
+    unnamed = got.filter("slot IS NULL").select(*ASPECTS).distinct().collect()
+    assert len(unnamed) == 1 and set(unnamed[0]) <= {None, ""}
+    assert "Exchange" not in jobs.score_slots(spark.read.parquet(_stored(rows, tmp_path)), slots)._jdf.queryExecution().toString()
+    assert jobs.score_slots(rows.limit(0), slots, keep=["doc_id"]).count() == 0
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "rows"))
+    out = str(tmp_path / "out")
+    write_scores(jobs.score_slots(stream, slots, keep=["doc_id", "slot"]), out, str(tmp_path / "mark")).awaitTermination()
+    assert sorted(spark.read.parquet(out).collect(), key=str) == sorted(got.collect(), key=str)
+    with pytest.raises(Exception, match="unknown slot: three"):
+        jobs.score_slots(rows.withColumn("slot", F.lit("three")), slots).collect()
+
+
+def _stored(rows, root):
+    rows.write.parquet(str(root / "rows"))
+    return str(root / "rows")
+
+
 def test_predict_sentence(spark, trained):
     done, _ = trained
     assert jobs.predict_sentence(spark, "Ngon tuyệt 50k quán 3", done.features, done.net) == ["1.0"] * 7
