@@ -82,3 +82,28 @@ def test_empty_lexicon_and_table(spark, text):
     assert lexicon.count() == 0
     assert sg.segment(df, lexicon).collect()[0]["cmt"] == text
     assert sg.segment(df.filter(F.lit(False)), lexicon).count() == 0
+
+
+def test_counts_of_runs_are_those_of_counting_every_run(spark):
+    """The filter loses no run, also where a syllable is written like a run; and a task needs no large lexicon per row."""
+    rows = [r["cmt"] for r in texts(spark).select("cmt").collect()] + ["a b_c a b_c a b c a_b c"] * 2
+    for some in (rows, rows[:-2]):
+        expected: dict[str, int] = {}
+        for text in some:
+            words = (text or "").split()
+            for i in range(len(words)):
+                for k in range(1, 5):
+                    run = words[i : i + k]
+                    if len(run) == k and not any(w.endswith((".", "!", "?")) for w in run[:-1]):
+                        expected["_".join(run)] = expected.get("_".join(run), 0) + 1
+        table = spark.createDataFrame([(t,) for t in some], "cmt string")
+        found = {r["word"]: r["n"] for r in sg.gram_lexicon(table, least=4).collect()}
+        assert found == {w: n for w, n in expected.items() if n >= 4}
+
+
+def test_rare_runs_are_not_shuffled_as_text(spark):
+    """Of runs seen once only hashes of one and two syllables may leave a task."""
+    table = spark.createDataFrame([(" ".join(f"w{i}x{k}" for k in range(50)),) for i in range(40)], "text string")
+    counts = sg._gram_counts(table, 4, 5)
+    assert counts.count() == 0
+    assert sg._frequent(table, 1, range(1, 3)).count() == 40 * (50 + 49)
