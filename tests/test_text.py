@@ -164,7 +164,7 @@ def test_cleaning_plan_has_one_arrow_step_and_no_row_udf(spark):
 def test_joining_phrases_cleans_a_text_once(spark):
     """The words are read several times, what makes them only once."""
     df = spark.createDataFrame([("Ngon QUÁ đi",), (None,), ("",)], "s string")
-    done = df.select(tx.clean_text("s", "advanced", (), [("ngon", "quá")]).alias("s"))
+    done = df.select(tx.clean_text("s", "advanced", (), [("ngon", "qúa")]).alias("s"))
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1
-    assert sorted(r["s"] for r in done.collect()) == ["", "", "ngon_qúa đi"] or sorted(r["s"] for r in done.collect()) == ["", "", "ngon_quá đi"]
+    assert sorted(r["s"] for r in done.collect()) == ["", "", "ngon_qúa đi"]
