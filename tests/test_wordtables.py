@@ -99,3 +99,15 @@ def test_fewer_words_than_columns(spark):
     df = spark.createDataFrame([("a b a b",), ("b a",)], "cmt string")
     rows = ve.word_vectors(df, 6, least=1).collect()
     assert all(len(r["vector"]) == 6 and np.isfinite(r["vector"]).all() for r in rows)
+
+
+def test_large_tables_of_pairs_are_not_checkpointed(spark, monkeypatch):
+    """Checkpoints are uncompressed; pairs, cooccurrences and matrix entries grow with the square of the window."""
+    from reviewlens.operators import vectors
+
+    seen = []
+    plain = vectors.cut_lineage
+    monkeypatch.setattr(vectors, "cut_lineage", lambda df: (seen.append(set(df.columns)), plain(df))[1])
+    df = spark.createDataFrame([("a b c a b",), ("b c d a",)] * 5, "cmt string")
+    assert vectors.word_vectors(df, 2, least=2).count() == 4
+    assert seen and not any({"a", "b"} <= columns for columns in seen)
