@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.operators import kernels as kn
-from reviewlens.operators.net import AspectNet, AspectNetModel
+from reviewlens.operators.net import AspectNet, AspectNetModel, vector_parts
 
 ARCHS = ["mlp", "rnn", "gru", "lstm"]
 
@@ -124,3 +124,15 @@ def test_refusals(spark):
     with pytest.raises(ArithmeticError, match="loss"), np.errstate(all="ignore"):
         big = separable(spark).withColumn("label", F.transform("label", lambda x: x * F.lit(1e30).cast("float")))
         AspectNet(arch="mlp", hidden=[8, 8], maxEpoch=4, learningRate=10.0, clipNorm=0.0).fit(big)
+
+
+def test_dense_vectors_travel_without_null_lists(spark):
+    """Arrow's writer takes time by the square of a batch's null lists."""
+    data = [(Vectors.dense([1.0, 0.0, 2.0]),), (Vectors.sparse(3, [1], [4.0]),), (Vectors.sparse(3, [], []),), (None,)]
+    df = spark.createDataFrame(data, T.StructType([T.StructField("features", VectorUDT())]))
+    table = df.coalesce(1).select(*[c.alias(n) for c, n in zip(vector_parts("features"), ("indices", "values"), strict=True)]).toArrow()
+    assert table["indices"].null_count == 0
+    rows = kn.Rows(kn.vectors(table["indices"].combine_chunks(), table["values"].combine_chunks()))
+    assert rows.lengths.tolist() == [3, 1, 0, 0] and rows.at.tolist() == [0, 1, 2, 1] and rows.values.tolist() == [1, 0, 2, 4]
+    plain = df.select(F.unwrap_udt("features").alias("f")).select(kn.plain_vector("f"))
+    assert plain.filter("f.indices IS NULL").count() == 0
