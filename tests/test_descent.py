@@ -69,3 +69,18 @@ def test_layouts_give_the_same_weights_to_the_last_bit(spark, arch, small_parts)
 def test_no_rows(spark):
     with pytest.raises(ValueError, match="no training rows"):
         AspectNet(arch="rnn", hidden=[4], syncRows=10).fit(spark.createDataFrame([], SCHEMA))
+
+
+def test_small_steps_cost_no_job_each(spark, monkeypatch):
+    """75 steps of one part each, in far fewer jobs; the weights are those of steps put together from several parts."""
+    sc, df = spark.sparkContext, spark.createDataFrame(rows(), SCHEMA)
+    net = AspectNet(arch="gru", hidden=[8], maxEpoch=1, syncRows=10, seed=9, dropout=0.0)
+    monkeypatch.setattr(descent, "RUN", 300)
+    sc.setJobGroup("small steps", "")
+    fitted = net.fit(df)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("small steps"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 75
+    monkeypatch.setattr(descent, "PART", 4)
+    for name, w in net.fit(df).weights.items():
+        assert np.allclose(w, fitted.weights[name], rtol=0, atol=1e-6)
