@@ -183,3 +183,7 @@ def test_exact_split_takes_the_same_rows_on_any_partitioning(spark, parts):
     assert sorted(map(repr, train.collect())) == sorted(map(repr, one.collect()))
     none, every = exact_split(df.limit(0), 0.8)
     assert none.count() == every.count() == 0
+
+
+def test_training_cleans_once(trained):
+    assert "regexp_replace" not in trained[0].predictions._jdf.queryExecution().toString()
