@@ -168,3 +168,10 @@ def test_joining_phrases_cleans_a_text_once(spark):
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1
     assert sorted(r["s"] for r in done.collect()) == ["", "", "ngon_qúa đi"]
+
+
+def test_autocorrect_works_out_its_text_once(spark):
+    df = spark.createDataFrame([("KO ngon",)], "x string").select(tx.autocorrect(F.lower("x")).alias("y"))
+    # The other one lower-cases the keyword found.
+    assert df._jdf.queryExecution().analyzed().toString().count("lower(x#") == 1
+    assert df.collect()[0][0] == "không ngon"
