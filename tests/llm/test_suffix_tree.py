@@ -122,3 +122,55 @@ def test_rare_contexts_are_learned_however_large_the_corpus(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     score = {r.doc_id: r.score for r in s.scores(docs, F.col("doc_id") < 2).collect()}
     assert score[2] > score[3] + 1e-9
+
+
+def _by_hand(texts, log10_of, divergence=s.DIVERGENCE):
+    """log10 probability of a sequence of symbols under the tree over words, from plain counts."""
+    grams = [Counter() for _ in range(s.WORDS + 1)]
+    for t in texts:
+        for at in range(len(t)):
+            for d in range(min(at, s.WORDS) + 1):
+                grams[d][tuple(t[at - d : at + 1])] += 1
+    kept = {}
+
+    def prob(context, symbol):
+        if not context:
+            return 10 ** log10_of(symbol)
+        if context not in kept:
+            return prob(context[1:], symbol)
+        total, kinds = kept[context]
+        return (max(grams[len(context)][*context, symbol] - 1, 0) + kinds * prob(context[1:], symbol)) / total
+
+    for d in range(1, s.WORDS + 1):
+        following = {}
+        for g, n in grams[d].items():
+            following.setdefault(g[:-1], {})[g[-1]] = n
+        for context, nexts in following.items():
+            before = {x: prob(context[1:], x) for x in nexts}
+            total, kinds = sum(nexts.values()), len(nexts)
+            if max(nexts.values()) > 1:
+                other = {x: (max(n - 2, 0) + (kinds - (n == 1)) * before[x]) / (total - 1) for x, n in nexts.items()}
+                if sum(n * math.log(other[x] / before[x]) for x, n in nexts.items()) > divergence:
+                    kept[context] = total, kinds
+    return kept, lambda t: sum(math.log10(prob(tuple(t[max(0, at - s.WORDS) : at]), t[at])) for at in range(len(t)))
+
+
+def test_scores_follow_the_order_of_words(spark, monkeypatch):
+    rng = random.Random(7)
+    known = [f"w{i}" for i in range(30)]
+    texts = [" ".join(x for _ in range(rng.randrange(1, 12)) for x in rng.choice([["red", "fox", "runs"], ["old", "fox", "sleeps"], [rng.choice(known)]])) for _ in range(150)]
+    probe = ["red fox runs w3", "old fox runs w3", "runs fox red w3", "w1", "", "red fox new"]
+    rows = [*enumerate(texts), *((1000 + i, t) for i, t in enumerate(probe))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learn = F.col("doc_id") < 1000
+    got = {r.doc_id: r.score for r in s.scores(docs, learn).collect()}
+    # Without states the score is the sum of single words' values, each of which a text of that word and the end give.
+    alone = spark.createDataFrame([*enumerate(texts), *((1000 + i, w) for i, w in enumerate([*known, "red", "fox", "runs", "old", "sleeps", "new", ""]))], "doc_id long, text string")
+    none = spark.createDataFrame([], "context long, left double"), spark.createDataFrame([], "key long, n long, value double")
+    monkeypatch.setattr(s, "states", lambda *_: none)
+    plain = {r.doc_id: r.score for r in s.scores(alone, learn).collect()}
+    values = dict(zip([*known, "red", "fox", "runs", "old", "sleeps", "new", ""], (plain[1000 + i] for i in range(len(known) + 7)), strict=True))
+    kept, want = _by_hand([(*words_of(t), "") for t in texts], lambda w: values[w] - (values[""] if w else 0))
+    assert ("red", "fox") in kept and ("w1",) not in kept and got[1000] > got[1002]
+    assert all(abs(got[1000 + i] - want((*words_of(t), ""))) < 1e-9 for i, t in enumerate(probe))
+    assert all(abs(got[i] - want((*words_of(t), ""))) < 1e-9 for i, t in enumerate(texts))
