@@ -24,6 +24,7 @@ LANGUAGES = 4096  # more are refused
 MARGIN = 0.6  # share of the least similarity of labelled texts below which a text is rejected
 UNKNOWN = "und"
 ROWS, BYTES = 512, 1 << 20  # texts turned into vectors at once
+PART_ROWS, PART = 64, 1 << 17  # of these, texts whose n-grams are listed at once: a list is many times its text
 
 # Letters keep their byte, lower-cased, all other ASCII becomes a space.
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -60,18 +61,25 @@ def counts(column: pa.Array):
     n, at = len(places) - 1, 0
     while at < n:
         to = max(at + 1, min(at + ROWS, int(np.searchsorted(places, places[at] + BYTES, side="right")) - 1))
-        own, limits = raw[places[at] : places[to]], places[at : to + 1] - places[at]
-        letters = np.concatenate([[0], np.cumsum((_FOLD[own] > 0x20) & (own < 0x80))])[limits]
-        row, bucket = _grams(own, limits)
-        found = np.bincount(row * WIDTH + bucket, minlength=(to - at) * WIDTH).reshape(to - at, WIDTH)
-        yield at, to, found, np.diff(letters)
+        found, letters, a = np.zeros((to - at, WIDTH), np.int32), np.zeros(to - at, np.int64), at
+        while a < to:
+            b = max(a + 1, min(to, a + PART_ROWS, int(np.searchsorted(places, places[a] + PART, side="right")) - 1))
+            own, limits = raw[places[a] : places[b]], places[a : b + 1] - places[a]
+            letters[a - at : b - at] = np.diff(np.concatenate([[0], np.cumsum((_FOLD[own] > 0x20) & (own < 0x80))])[limits])
+            row, bucket = _grams(own, limits)
+            found[a - at : b - at] = np.bincount(row * WIDTH + bucket, minlength=(b - a) * WIDTH).reshape(b - a, WIDTH)
+            a = b
+        yield at, to, found, letters
         at = to
 
 
 def vectors(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(found.astype(np.float32)) * idf
+    v = found.astype(np.float32)
+    np.log1p(v, out=v)
+    v *= idf
     length = np.sqrt((v * v).sum(1, keepdims=True))
-    return v / np.where(length > 0, length, 1)
+    v /= np.where(length > 0, length, 1)
+    return v
 
 
 def _length(found: np.ndarray) -> np.ndarray:
@@ -142,9 +150,7 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE, margi
     chosen = rows.filter(share * of_lang[F.col("lang")] < sample).select("lang", "text").distinct()
 
     def cluster(table: pa.Table) -> pa.Table:
-        found = [f for _, _, f, _ in counts(table.column("text"))]
-        v = np.concatenate([vectors(f, idf) for f in found])
-        length = np.concatenate([_length(f) for f in found])
+        v, length = map(np.concatenate, zip(*((vectors(f, idf), _length(f)) for _, _, f, _ in counts(table.column("text"))), strict=True))
         v, length = v[length > 0], length[length > 0]
         if not len(v):
             return pa.table({"lang": pa.array([], pa.string()), "centroid": pa.array([], pa.list_(pa.float32())), "least": pa.array([], pa.list_(pa.float32()))})

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -47,3 +48,15 @@ def test_vectors_depend_on_the_text_alone():
     alone = [f for _, _, f, _ in language.counts(pa.array(["abc déf"]))][0]
     assert (alone[0] == a[0]).all()
     assert np.allclose(np.linalg.norm(language.vectors(a, np.ones(language.WIDTH, np.float32)), axis=1), [1, 0, 1, 1])
+
+
+def test_counting_holds_the_n_grams_of_few_texts_at_once():
+    column = pa.array([f"ka ti mo {k} " * 70 for k in range(1000)])
+    tracemalloc.start()
+    found = [f.sum(1) for _, _, f, _ in language.counts(column)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    for at in (0, 63, 64, 511, 512, 999):
+        alone = next(f for _, _, f, _ in language.counts(column.slice(at, 1)))
+        assert np.concatenate(found)[at] == alone.sum()
