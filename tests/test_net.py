@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.operators import kernels as kn
+from reviewlens.operators import net
 from reviewlens.operators.net import AspectNet, AspectNetModel, vector_parts
 
 ARCHS = ["mlp", "rnn", "gru", "lstm"]
@@ -136,3 +139,20 @@ def test_dense_vectors_travel_without_null_lists(spark):
     assert rows.lengths.tolist() == [3, 1, 0, 0] and rows.at.tolist() == [0, 1, 2, 1] and rows.values.tolist() == [1, 0, 2, 4]
     plain = df.select(F.unwrap_udt("features").alias("f")).select(kn.plain_vector("f"))
     assert plain.filter("f.indices IS NULL").count() == 0
+
+
+def test_scoring_holds_the_places_of_few_vectors_at_once():
+    rng = np.random.default_rng(3)
+    n, k = 4000, 200
+    ends = pa.array(np.arange(0, n * k + 1, k, dtype=np.int32))
+    places = pa.ListArray.from_arrays(ends, pa.array(np.tile(np.arange(0, 2 * k, 2, dtype=np.int32), n)))
+    column = kn.vectors(places, pa.ListArray.from_arrays(ends, pa.array(rng.random(n * k))))
+    w = kn.initial("gru", 2 * k, (8,), 3, 1)
+    tracemalloc.start()
+    out = net._outputs("gru", w, column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6
+    for at in (0, 255, 256, 3999):
+        assert np.allclose(net._outputs("gru", w, column.slice(at, 1))[0], out[at], atol=1e-6)
+    assert net._outputs("gru", w, column.slice(0, 0)).shape == (0, 3)
