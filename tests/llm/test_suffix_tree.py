@@ -174,3 +174,9 @@ def test_scores_follow_the_order_of_words(spark, monkeypatch):
     assert ("red", "fox") in kept and ("w1",) not in kept and got[1000] > got[1002]
     assert all(abs(got[1000 + i] - want((*words_of(t), ""))) < 1e-9 for i, t in enumerate(probe))
     assert all(abs(got[i] - want((*words_of(t), ""))) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_tables_reach_the_driver_as_columns(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(5, 60), "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: 1 / 0)
+    assert s.scores(docs, F.col("doc_id") % 3 != 0).count() == 60
