@@ -175,3 +175,19 @@ def test_autocorrect_works_out_its_text_once(spark):
     # The other one lower-cases the keyword found.
     assert df._jdf.queryExecution().analyzed().toString().count("lower(x#") == 1
     assert df.collect()[0][0] == "không ngon"
+
+
+def test_emoji_are_looked_for_only_where_one_can_be(spark):
+    assert pt.EMOJI_HINT in spark.range(1).select(tx.remove_emoji(F.lit("c").cast("string")))._jdf.queryExecution().logical().toString()
+    found = re.compile(r"[\xA9\xAE\u203C-\U0001FAFA]")
+    emoji = set()
+    for item in pt.EMOJI_RANGES:
+        lo, hi = (item.split("-") * 2)[:2]
+        emoji.update(map(chr, range(int(lo, 16), int(hi, 16) + 1)))
+    assert all(map(found.match, [*emoji, "\u20e3"]))
+
+
+def test_unstable_is_all_that_is_not_stable(spark):
+    table = spark.range(0x20000).filter("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("s"))
+    both = table.select(F.col("s").rlike(pt.NFC_UNSTABLE).alias("a"), F.col("s").rlike("[^" + pt.NFC_STABLE[1:]).alias("b"))
+    assert both.filter("a <> b").count() == 0 and both.filter("a").count() > 1000
