@@ -107,3 +107,47 @@ def test_rare_runs_are_not_shuffled_as_text(spark):
     counts = sg._gram_counts(table, 4, 5)
     assert counts.count() == 0
     assert sg._frequent(table, 1, range(1, 3)).count() == 40 * (50 + 49)
+
+
+def test_runs_leave_a_task_as_arrays(spark):
+    """No row is made of a run before the rare ones are gone, and parts of the hashes lose none."""
+    table = spark.createDataFrame([(" ".join(f"w{(i * 7 + k) % 90}" for k in range(50)),) for i in range(40)], "text string").repartition(3)
+    found = sg._frequent(table, 5, range(1, 3))
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in text and "HashAggregate" not in text
+    assert found.count() == sg._frequent(table, 5, range(1, 3), split=6).count() == len(pairs_of(table, 5))
+    assert sg._split(0) == 0 and sg._split(sg._PART) == 0 and sg._split(5 * sg._PART) == 3
+
+
+def pairs_of(table, least):
+    seen: dict[tuple, int] = {}
+    for r in table.collect():
+        words = r["text"].split()
+        for run in [*zip(words), *zip(words, words[1:])]:
+            seen[run] = seen.get(run, 0) + 1
+    return [run for run, n in seen.items() if n >= least]
+
+
+def test_texts_are_written_once_and_not_checkpointed(spark, monkeypatch):
+    df = texts(spark)
+    before = sg.stored
+    seen = []
+    monkeypatch.setattr(sg, "stored", lambda df, name: (seen.append(df), before(df, name))[1])
+    checkpoints = []
+    monkeypatch.setattr(type(df), "checkpoint", lambda self, eager=True: checkpoints.append(self.columns))
+    found = rows_of(sg.segment(df, sg.gram_lexicon(df, least=3, threshold=1.0), limit=0))
+    assert (902, "mới toanh", "x") in found and not checkpoints
+    rows = next(x for x in seen if "row" in x.columns)
+    assert rows.columns == ["all", "text", "row"] and rows.schema["all"].dataType.names == ["doc_id", "_known"]
+    sg.learn_lexicon(df.select("cmt"), threshold=3.0, limit=0)
+    assert not checkpoints
+
+
+def test_words_are_counted_in_the_tasks(spark):
+    found = sg._word_counts(texts(spark).select("cmt"))
+    want: dict[str, int] = {}
+    for r in texts(spark).collect():
+        for w in (r["cmt"] or "").split():
+            want[w] = want.get(w, 0) + 1
+    assert {r["word"]: r["n"] for r in found.collect()} == want
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
