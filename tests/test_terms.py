@@ -104,3 +104,16 @@ def test_feature_pipelines(spark):
         assert "kind" in str(e)
     else:
         raise AssertionError
+
+
+def test_phrases_in_every_task_need_no_shuffle_and_equal_the_other_ways(spark):
+    lines = ["a b c a b", "a a a a a", "x", "", None, "c \t a b", "b c b c", " a_b c a b\n", "a b.", "q"]
+    df = spark.createDataFrame([(i % 3, line, "y") for i, line in enumerate(lines)], "k long, cmt string, _row2 string").repartition(3)
+    found = spark.createDataFrame([("a", "b", 9), ("b", "c", 5), ("a", "a", 3), ("a_b", "c", 2), ("zz", "a", 2)], "a string, b string, n_ab long")
+    ways = [phrases.apply_phrases(df, found, **limits) for limits in ({}, {"literal_limit": 1}, {"literal_limit": 1, "limit": 0})]
+    one, two, three = (sorted(map(tuple, w.collect()), key=repr) for w in ways)
+    assert one == two == three
+    assert {"a_b c a_b", "a_a a_a a", "", None, "c a_b", "b_c b_c", "a_b_c a_b", "a b.", "q"} <= {r[1] for r in two}
+    text = ways[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "hashpartitioning" not in text
+    assert phrases.apply_phrases(df.filter("k > 5"), found, literal_limit=1).count() == phrases.apply_phrases(df.filter("k > 5"), found, literal_limit=1, limit=0).count() == 0
