@@ -151,3 +151,17 @@ def test_words_are_counted_in_the_tasks(spark):
             want[w] = want.get(w, 0) + 1
     assert {r["word"]: r["n"] for r in found.collect()} == want
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["segment_words", "segment_words_joined", "apply_phrases", "count_vectors", "word_vectors", "learned_words"])
+def test_queries_that_read_cleaned_rows_again_clean_them_once(spark, tmp_path, name, monkeypatch):
+    from reviewlens.plans import queries as plans
+
+    rows = [(k, f"ngon quá giá rẻ {k % 3} Hà Nội" + " ngon quá" * (k % 4), "vi", "s", 10) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    cleaned = []
+    plain = plans._cleaned
+    monkeypatch.setattr(plans, "_cleaned", lambda *a: (cleaned.append(1), plain(*a))[1])
+    found = plans.queries()[name](spark, str(tmp_path))
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString() and len(cleaned) == 1
