@@ -58,6 +58,21 @@ def test_joined_lexicon_gives_the_broadcast_one(spark):
     assert any("_" in (r[1] or "") for r in one) and (900, None, "x") in one and (902, "mới toanh", "x") in one
 
 
+def test_the_most_frequent_words_of_a_large_lexicon_are_not_joined(spark):
+    df = texts(spark)
+    lexicon = sg.gram_lexicon(df, least=3, threshold=1.0)
+    counts = sorted((r["n"] for r in lexicon.collect()), reverse=True)
+    one = rows_of(sg.segment(df, lexicon))
+    for limit in (1, 7, len(counts) // 2, len(counts) - 1):
+        least = sg._least_of(lexicon, limit)
+        head = sum(n >= least for n in counts)
+        assert head <= limit and (head == limit or counts[head : limit + 1].count(counts[head]) > limit - head)
+        assert one == rows_of(sg.segment(df, lexicon, limit=limit))
+    assert sg._least_of(lexicon, 0) > counts[0]
+    few = [sorted(map(tuple, sg.learn_lexicon(df, least=3, threshold=2.0, limit=n).collect())) for n in (10**6, 9, 0)]
+    assert few[0] == few[1] == few[2]
+
+
 def test_learned_words(spark):
     found = {r["word"]: r["n"] for r in sg.learn_lexicon(texts(spark), threshold=3.0).collect()}
     assert {"nhân_viên", "khách_sạn", "phục_vụ", "không_gian_quán", "ở_đây"} <= set(found)
@@ -137,7 +152,7 @@ def test_texts_are_written_once_and_not_checkpointed(spark, monkeypatch):
     monkeypatch.setattr(type(df), "checkpoint", lambda self, eager=True: checkpoints.append(self.columns))
     found = rows_of(sg.segment(df, sg.gram_lexicon(df, least=3, threshold=1.0), limit=0))
     assert (902, "mới toanh", "x") in found and not checkpoints
-    rows = next(x for x in seen if "row" in x.columns)
+    rows = next(x for x in seen if "all" in x.columns)
     assert rows.columns == ["all", "text", "row"] and rows.schema["all"].dataType.names == ["doc_id", "_known"]
     sg.learn_lexicon(df.select("cmt"), threshold=3.0, limit=0)
     assert not checkpoints
